@@ -1,194 +1,199 @@
-"""Language-model scores by a probabilistic suffix tree over the bytes of a text.
+"""Language-model scores by a probabilistic suffix tree over the tokens of a text.
 
-A text is read as its lower-cased words joined by single spaces and closed by an end symbol, so that its probability is that of its
-tokens. Counts of every byte after every context of up to DEPTH bytes are gathered from all training texts. A context stays in the
-tree if it occurs often enough and its next-byte distribution diverges enough from that of its longest shorter
-context. Distributions are smoothed towards those of the shorter contexts, down to a uniform one. For scoring, the
-tree becomes an automaton whose state is the longest suffix of what was read that the tree (or a beginning of its contexts) holds, and
-all chunks of a block of documents walk it in step.
+The tree's symbols are the frequent tokens (each at least LEAST_TOKEN of all), the end of a text, and one symbol for all rare tokens,
+within which a token has its discounted share and all unknown tokens together have the discounts' sum. So the symbols are
+at most 1 / LEAST_TOKEN, whatever the corpus, while counts of every token and of every symbol after every context are gathered from all training
+texts. A context stays in the tree if it is frequent and its next-symbol distribution diverges from that of its shorter context by more than
+its own size would explain. A distribution is smoothed towards that of the longest shorter context in the tree. A text is scored
+from the longest suffix of what was read that the tree holds.
 
-Beside it stands an add-one unigram model of whole tokens over all training texts.
+Beside it stands an add-one unigram model of the tokens; both give one probability to every known token and one to all unknown ones.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from contourflow.llm.common import broadcast, fold, materialize, utf8
+from contourflow.llm.common import broadcast, fold, materialize, partitions, utf8
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DEPTH = 6
-END = 0xFF  # no byte of UTF-8
-SPACE = 0x20
+DEPTH = 2
+MOST_DEPTH = 3  # four symbols of BITS bits in a long
+BITS = 15
+END, RARE = 0, 1
 END_TOKEN = b" "  # no word holds white space
-#: A context's least share of all positions: with it the tree has 1 / LEAST_SHARE contexts of any depth at most.
-LEAST_SHARE = 1e-6
-#: Least divergence from the shorter context, in nats a position of the corpus.
-LEAST_DIVERGENCE = 2e-7
-#: Contexts that the tree holds: the model's size, those of the largest divergence.
-MOST_CONTEXTS = 24_000
-SMOOTHING = 4.0
-BLOCK_BYTES = 4 << 20
-STEP = 256
-
-
-def stream(data: bytes) -> tuple[bytes, list[bytes]]:
-    """A text's words joined by spaces, and the words."""
-    words = data.lower().split()
-    return b" ".join(words), words
-
-
-def padded(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts in a row, each after `depth` end symbols and closed by one; and where each one's own symbols begin and end."""
-    gap = bytes([END]) * depth
-    lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-    joined = gap + (bytes([END]) + gap).join(texts) + bytes([END]) if texts else gap
-    begins = depth + np.concatenate([[0], np.cumsum(lengths + depth)[:-1]]).astype(np.int64) if texts else np.zeros(0, dtype=np.int64)
-    return np.frombuffer(joined, dtype=np.uint8), begins, begins + lengths
-
-
-def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (context of `depth` bytes, next byte), packed into integers, and their counts."""
-    buf, begins, ends = padded(texts, depth)
-    if not len(begins):
+#: Least share of a frequent token, of a context and of a (context, symbol) count that is kept: each bounds the number of its kind by its reciprocal.
+LEAST_TOKEN = 1 / 32_000
+LEAST_CONTEXT = 1e-6
+LEAST_PAIR = 1e-6
+#: Least divergence of a context, in nats a position of the corpus.
+LEAST_DIVERGENCE = 1e-8
+BLOCK_BYTES = 6 << 20
+
+
+@dataclass
+class Tree:
+    """symbols: frequent token -> symbol; chance: each symbol's share; levels[d - 1]: the contexts of d symbols.
+
+    rare: what all rare tokens' counts sum to, plus one; discount: what each rare token's count gives to the unknown ones, which hold
+    `unknown` of the rare symbol's share.
+    """
+
+    symbols: dict[bytes, int]
+    chance: np.ndarray
+    rare: float
+    discount: float
+    unknown: float
+    levels: list[dict[str, np.ndarray]] = field(default_factory=list)
+
+    def encode(self, tokens: list[bytes]) -> list[int]:
+        of = self.symbols.get
+        return [of(t, RARE) for t in tokens]
+
+    def log10(self, keys: np.ndarray) -> np.ndarray:
+        """log10 chance of each key's last symbol after those before it."""
+        symbol = keys & ((1 << BITS) - 1)
+        p = self.chance[symbol]
+        for d, level in enumerate(self.levels, 1):
+            contexts, pairs = level["contexts"], level["pairs"]
+            if not len(contexts):
+                continue
+            key = keys & ((1 << (BITS * (d + 1))) - 1)
+            context = key >> BITS
+            at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
+            held = np.flatnonzero(contexts[at] == context)
+            at, key = at[held], key[held]
+            pair = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+            n = np.where(pairs[pair] == key, level["n"][pair], 0)
+            p[held] = (n + level["back"][at] * p[held]) / level["whole"][at]
+        return np.log10(p)
+
+    def within(self, count: int) -> float:
+        """log10 share of a rare or unknown (count 0) token in the rare symbol."""
+        return float(np.log10((count - self.discount) / self.rare if count else self.unknown))
+
+
+def keys_of(encoded: list[list[int]], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """Packed (context, symbol) of every position of the texts and their ends, and each text's number of positions."""
+    if not encoded:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    keys = np.zeros(len(buf) - depth, dtype=np.int64)
-    for k in range(depth + 1):
-        keys = (keys << 8) | buf[k : len(buf) - depth + k]
-    own = np.zeros(len(buf) + 1, dtype=np.int8)
+    lengths = np.array([len(t) + 1 for t in encoded], dtype=np.int64)
+    total = int(lengths.sum()) + depth * len(encoded)
+    row = np.zeros(total + depth, dtype=np.int64)
+    begins = depth + np.concatenate([[0], np.cumsum(lengths + depth)[:-1]])
+    own = np.zeros(total + 1, dtype=np.int64)
     own[begins] += 1
-    own[ends] -= 1
-    return np.unique(keys[np.cumsum(own[:-1])[depth:] > 0], return_counts=True)
+    ends = begins + lengths
+    own[ends[ends <= total]] -= 1
+    own = np.cumsum(own[:total]) > 0
+    flat = np.fromiter((s for t in encoded for s in (*t, END)), dtype=np.int64, count=int(lengths.sum()))
+    row[:total][own] = flat
+    keys = np.zeros(total - depth, dtype=np.int64)
+    for k in range(depth + 1):
+        keys = (keys << BITS) | row[k : total - depth + k]
+    return keys[own[depth:]], lengths
 
 
-class Tree:
-    """contexts: context -> next byte -> count; the root is the empty context."""
-
-    def __init__(self, contexts: dict[bytes, dict[int, int]], depth: int = DEPTH, smoothing: float = SMOOTHING) -> None:
-        self.depth = depth
-        contexts = {b"": {}} | contexts
-        symbols = sorted({s for nexts in contexts.values() for s in nexts} | {s for c in contexts for s in c} | {END, SPACE})
-        # Bytes never seen share one class, which is a uniform choice among them.
-        self.classes = np.full(256, len(symbols), dtype=np.int32)
-        self.classes[symbols] = np.arange(len(symbols))
-        n_classes = len(symbols) + 1
-        unseen = max(1, 256 - len(symbols))
-        uniform = np.full(n_classes, 1.0 / 256)
-        uniform[-1] = (256 - len(symbols)) / 256
-
-        states = {b""} | {c[:k] for c in contexts for k in range(1, len(c) + 1)}
-        order = sorted(states, key=lambda s: (len(s), s))
-        at = {s: k for k, s in enumerate(order)}
-        next_state = np.zeros((len(order), n_classes), dtype=np.int32)
-        chance = np.zeros((len(order), n_classes))
-        fallback = np.zeros(len(order), dtype=np.int64)
-        longer: list[list[tuple[int, int]]] = [[] for _ in order]
-        for k, s in enumerate(order[1:], 1):
-            longer[at[s[:-1]]].append((int(self.classes[s[-1]]), k))
-        for k, s in enumerate(order):
-            if s:
-                # The longest proper suffix that is a state: one step from the state of s without its last byte.
-                fallback[k] = next_state[fallback[at[s[:-1]]], self.classes[s[-1]]] if len(s) > 1 else 0
-                next_state[k] = next_state[fallback[k]]
-            for c, to in longer[k]:
-                next_state[k, c] = to
-            shorter = chance[fallback[k]] if s else uniform
-            nexts = contexts.get(s)
-            if nexts:
-                seen = np.zeros(n_classes)
-                seen[self.classes[list(nexts)]] = list(nexts.values())
-                chance[k] = (seen + smoothing * shorter) / (seen.sum() + smoothing)
-            else:
-                chance[k] = shorter
-        per_byte = chance.copy()
-        per_byte[:, -1] /= unseen
-        with np.errstate(divide="ignore"):
-            self.log10 = np.log10(np.maximum(per_byte, 1e-30)).astype(np.float32)
-        self.next_state = next_state
-        self.n_contexts = len(contexts)
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text and its end."""
-        buf, begins, ends = padded(texts, self.depth)
-        out = np.zeros(len(texts))
-        if not len(texts):
-            return out
-        # Chunks of STEP symbols, each read from `depth` symbols before it: a state depends on no more than those.
-        classes = self.classes[buf]
-        n = len(buf) - self.depth
-        starts = np.arange(0, n, STEP)
-        logs = np.zeros(len(starts) * STEP, dtype=np.float32).reshape(len(starts), STEP)
-        width = self.next_state.shape[1]
-        flat_next, flat_log = self.next_state.ravel(), self.log10.ravel()
-        reach = np.concatenate([classes, np.zeros(STEP + self.depth, dtype=np.int32)])
-        state = np.zeros(len(starts), dtype=np.int64)
-        for k in range(self.depth + STEP):
-            cell = state * width + reach[starts + k]
-            if k >= self.depth:
-                logs[:, k - self.depth] = flat_log[cell]
-            state = flat_next[cell].astype(np.int64)
-        total = np.concatenate([[0.0], np.cumsum(logs.ravel()[:n], dtype=np.float64)])
-        return total[ends - self.depth] - total[begins - self.depth]
-
-
-def _gather(batches: Iterator[pd.DataFrame], depth: int) -> Iterator[pd.DataFrame]:
-    """Rows of one block after another: its distinct tokens with training counts, and the training texts' grams."""
-
-    def close(block: int, seen: Counter, words: set, texts: list[bytes]) -> Iterator[pd.DataFrame]:
+def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of one block after another: its distinct tokens with their training counts."""
+
+    def close(block: int, seen: Counter, words: set) -> pd.DataFrame:
         tokens = list(words)
-        yield pd.DataFrame({"block": block, "token": tokens, "gram": None, "n": [seen[t] for t in tokens]}).astype({"block": "int64", "gram": "Int64", "n": "int64"})
-        keys, counts = grams(texts, depth)
-        yield pd.DataFrame({"block": block, "token": None, "gram": keys, "n": counts}).astype({"block": "int64", "gram": "Int64", "n": "int64"})
+        return pd.DataFrame({"block": block, "token": tokens, "n": [seen[t] for t in tokens]}).astype({"block": "int64", "n": "int64"})
 
-    at, seen, words, texts = None, Counter(), set(), []
+    at, seen, words = None, Counter(), set()
     for pdf in batches:
         for block, data, learn in zip(pdf["block"].tolist(), pdf["data"], pdf["learn"].tolist(), strict=True):
             if block != at:
                 if at is not None:
-                    yield from close(at, seen, words, texts)
-                at, seen, words, texts = block, Counter(), {END_TOKEN}, []
-            text, tokens = stream(data)
+                    yield close(at, seen, words)
+                at, seen, words = block, Counter(), {END_TOKEN}
+            tokens = data.lower().split()
             if learn:
                 seen.update(tokens)
                 seen[END_TOKEN] += 1
-                texts.append(text)
             words.update(tokens)
     if at is not None:
-        yield from close(at, seen, words, texts)
-
-
-def fit_tree(counted: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE, least_divergence: float = LEAST_DIVERGENCE, most_contexts: int = MOST_CONTEXTS) -> Tree:
-    """counted: (gram, n) over all training texts. Sums go up from the longest contexts; each is compared with the next shorter."""
-    spark = counted.sparkSession
-    whole = counted.groupBy("gram").agg(F.sum("n").alias("n"))
-    symbol = F.col("gram").bitwiseAND(F.lit(0xFF))
-    context = F.shiftright("gram", 8)
-    levels = F.explode(F.sequence(F.lit(0), F.lit(depth)))
-    masks = F.array(*[F.lit((1 << (8 * d)) - 1).cast("long") for d in range(depth + 1)])
-    rows = whole.select(context.alias("context"), symbol.alias("symbol"), "n", levels.alias("d"))
-    rows = rows.withColumn("context", F.col("context").bitwiseAND(F.get(masks, F.col("d"))))
-    rows = materialize(rows.groupBy("d", "context", "symbol").agg(F.sum("n").alias("n")), "contexts")
-    total = rows.filter("d = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    if not total:
-        return Tree({}, depth)
-    sums = rows.groupBy("d", "context").agg(F.sum("n").alias("all")).filter(F.col("all") >= max(2.0, least_share * total))
+        yield close(at, seen, words)
+
+
+def fit(texts: DataFrame, counts: DataFrame, depth: int = DEPTH) -> tuple[Tree, int, int]:
+    """The tree, the number of training tokens and that of distinct ones. texts: data of training texts; counts: (token, c), one row a token."""
+    if not 0 <= depth <= MOST_DEPTH:
+        raise ValueError(f"depth {depth} is not within 0..{MOST_DEPTH}")
+    c = F.col("c")
+    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    frequent = counts.filter((c >= F.lit(LEAST_TOKEN * total)) & (F.col("token") != F.lit(END_TOKEN))).select("token", "c").collect()
+    frequent.sort(key=lambda r: (-r["c"], bytes(r["token"])))
+    symbols = {bytes(r["token"]): k for k, r in enumerate(frequent, 2)} | {END_TOKEN: END}
+    ends = counts.filter(F.col("token") == F.lit(END_TOKEN)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    rare = total - ends - sum(r["c"] for r in frequent)
+    n_rare, ones, twos = counts.filter((c < F.lit(LEAST_TOKEN * total)) & (F.col("token") != F.lit(END_TOKEN))).agg(F.count("*"), F.count_if(c == 1), F.count_if(c == 2)).first()
+    discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+    chance = np.array([ends, rare + 1, *(r["c"] for r in frequent)], dtype=np.float64)
+    chance = np.maximum(chance, 1e-9) / (total + 1)
+    tree = Tree(symbols, chance, rare + 1.0, discount, (discount * n_rare + 1) / (rare + 1))
+
+    shared = broadcast(texts.sparkSession, tree)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, held, size = shared(), [], 0
+
+        def merge() -> tuple[np.ndarray, np.ndarray]:
+            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return keys, np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+
+        for pdf in batches:
+            keys, _ = keys_of([own.encode(data.lower().split()) for data in pdf["data"]], depth)
+            held.append(np.unique(keys, return_counts=True))
+            size += len(held[-1][0])
+            if size > 4_000_000:
+                held = [merge()]
+                size = len(held[0][0])
+        if held:
+            keys, n = merge()
+            for k in range(0, len(keys), 500_000):
+                yield pd.DataFrame({"gram": keys[k : k + 500_000], "n": n[k : k + 500_000]})
+
+    grams = materialize(texts.select("data").mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    tree.levels = _levels(grams, total, depth)
+    return tree, total, distinct
+
+
+def _levels(grams: DataFrame, total: int, depth: int) -> list[dict[str, np.ndarray]]:
+    """The contexts that stay, with the counts after them. grams: (gram, n), a context of `depth` symbols and the next one."""
+    masks = F.array(*[F.lit((1 << (BITS * d)) - 1).cast("long") for d in range(depth + 2)])
+    mask_of = lambda d: F.get(masks, d)
+    rows = grams.select(F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d"), "gram", "n")
+    rows = rows.groupBy("d", F.col("gram").bitwiseAND(mask_of(F.col("d") + 1)).alias("gram")).agg(F.sum("n").alias("n"))
+    rows = materialize(rows.withColumn("context", F.shiftright("gram", BITS)), "counts")
+    sums = rows.groupBy("d", "context").agg(F.sum("n").alias("whole"), F.count("*").alias("kinds")).filter(F.col("whole") >= max(2.0, LEAST_CONTEXT * total))
     rows = materialize(rows.join(sums, ["d", "context"]), "frequent")
-    shorter = F.col("context").bitwiseAND(F.get(masks, F.col("d") - 1))
-    own = rows.filter("d > 0").withColumn("short", shorter).withColumn("up", F.col("d") - 1)
-    up = rows.select(F.col("d").alias("up"), F.col("context").alias("short"), "symbol", F.col("n").alias("up_n"), F.col("all").alias("up_all"))
-    compared = own.join(up, ["up", "short", "symbol"])
-    divergence = F.sum(F.col("n") * F.log((F.col("n") / F.col("all")) / (F.col("up_n") / F.col("up_all")))) / F.lit(float(total))
-    best = compared.groupBy("d", "context").agg(divergence.alias("divergence")).filter(F.col("divergence") >= least_divergence)
-    best = materialize(best.orderBy(F.desc("divergence"), "d", "context").limit(most_contexts).select("d", "context"), "kept")
-    root = spark.createDataFrame([(0, 0)], "d int, context long")
-    chosen = rows.join(F.broadcast(best.unionByName(root)), ["d", "context"])
-    packed = chosen.groupBy("d", "context").agg(F.collect_list(F.struct("symbol", "n")).alias("nexts")).collect()
-    return Tree({int(r["context"]).to_bytes(r["d"], "big") if r["d"] else b"": {int(x["symbol"]): int(x["n"]) for x in sorted(r["nexts"])} for r in packed}, depth)
+    up = rows.select((F.col("d") + 1).alias("d"), F.col("gram").alias("short"), F.col("n").alias("up_n"), F.col("whole").alias("up_whole"))
+    own = rows.filter("d > 0").withColumn("short", F.col("gram").bitwiseAND(mask_of(F.col("d"))))
+    gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("whole")) / (F.col("up_n") / F.col("up_whole"))))
+    tested = own.join(up, ["d", "short"]).groupBy("d", "context", "whole", "kinds").agg(gain.alias("gain"))
+    kept = tested.filter((F.col("gain") > F.col("kinds")) & (F.col("gain") >= LEAST_DIVERGENCE * total)).select("d", "context", "whole", "kinds")
+    kept = materialize(kept, "kept")
+    pairs = own.filter(F.col("n") >= max(2.0, LEAST_PAIR * total)).join(kept.select("d", "context"), ["d", "context"]).select("d", "gram", "n")
+    contexts, pairs = kept.toArrow(), pairs.toArrow()
+    levels = []
+    for d in range(1, depth + 1):
+        c = contexts.filter(np.asarray(contexts["d"]) == d).sort_by("context")
+        p = pairs.filter(np.asarray(pairs["d"]) == d).sort_by("gram")
+        names, whole, kinds = (np.asarray(c[x], dtype=np.int64) for x in ("context", "whole", "kinds"))
+        grams_d, n = np.asarray(p["gram"], dtype=np.int64), np.asarray(p["n"], dtype=np.int64)
+        listed = np.zeros(len(names))
+        np.add.at(listed, np.searchsorted(names, grams_d >> BITS), n)
+        # Witten and Bell: as much goes to the shorter context as the context has kinds of next symbols, and what is not listed goes there too.
+        levels.append({"contexts": names, "whole": (whole + kinds).astype(np.float64), "back": whole - listed + kinds, "pairs": grams_d if len(grams_d) else np.array([-1]), "n": n if len(n) else np.array([0])})
+    return levels
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_of: int = 7, held_out: int = 2, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -196,49 +201,48 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
 
     Texts whose id's crc32 mod held_out_of is held_out are not learned from, nor are those with a null id. Tokens are the words between runs of
     white space after lower-casing A-Z, then one end. score is the tree's log10 probability of the text, base_score the add-one unigram
-    model's. Null and empty texts have the end alone. Repeated rows all stay and all count. With nothing to learn from, tree and
-    unigram model are uniform. Documents are dealt into blocks by a hash of id and text; a block's distinct tokens meet the
-    corpus's counts in a shuffle and come back to the block.
+    model's. Null and empty texts have the end alone. Repeated rows all stay and all count. With nothing to learn from, every token is
+    unknown. Documents are dealt into blocks by a hash of id and text; a block's distinct tokens meet the corpus's counts in a
+    shuffle and come back to the block.
     """
     rows = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("data"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("data") + 16), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-total // block_bytes))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("data") + 16), F.lit(0))).first()[0]
+    n_blocks = max(1, -(-size // block_bytes))
     learn = F.col("id").isNotNull() & (fold(F.col("id"), held_out_of) != held_out)
-    rows = rows.withColumn("learn", learn).withColumn("block", F.pmod(F.xxhash64("id", "data"), F.lit(n_blocks)))
-    dealt = rows.select("block", "id", "data", "learn")
-
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _gather(batches, depth)
-
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = dealt.select("block", "data", "learn").repartition(n, "block").sortWithinPartitions("block").mapInPandas(gather, "block long, token binary, gram long, n long")
-    counted = materialize(counted, "counted")
-    tokens = counted.filter("token IS NOT NULL").select("block", "token", "n")
-    tree = fit_tree(counted.filter("gram IS NOT NULL").select("gram", "n"), depth)
+    dealt = rows.select(F.pmod(F.xxhash64("id", "data"), F.lit(n_blocks)).alias("block"), "id", "data", learn.alias("learn"))
 
+    own = dealt.select("block", "data", "learn").repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block")
+    counted = materialize(own.mapInPandas(_tokens, "block long, token binary, n long"), "counted")
     by_token = W.partitionBy("token")
-    known = tokens.withColumn("c", F.sum("n").over(by_token)).withColumn("first", F.row_number().over(by_token.orderBy("block")) == 1)
+    known = counted.withColumn("c", F.sum("n").over(by_token)).withColumn("first", F.row_number().over(by_token.orderBy("block")) == 1)
     known = materialize(known.select("block", "token", "c", "first"), "tokens")
-    n_all, distinct = known.filter("first AND c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    floor = float(np.log10(n_all + distinct + 1))
+    tree, total, distinct = fit(dealt.filter("learn").select("data"), known.filter("first AND c > 0").select("token", "c"), depth)
+    floor = float(np.log10(total + distinct + 1))
     shared = broadcast(docs.sparkSession, tree)
 
     def score_block(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        model = shared()
         counts = {t: c for t, c in zip(right["token"], right["c"].tolist(), strict=True) if c}
-        logs = {t: float(np.log10(c + 1)) for t, c in counts.items()}
-        of = logs.get
-        texts, n_tokens, n_known, base = [], [], [], []
+        # What a token adds to base_score, to n_known and, as part of the rare symbol, to score.
+        values = {c: (float(np.log10(c + 1)), 1, model.within(c)) for c in set(counts.values())}
+        frequent, unknown = model.symbols, (0.0, 0, model.within(0))
+        parts = {t: values[c] if t not in frequent else (values[c][0], 1, 0.0) for t, c in counts.items()}
+        out, encoded = [], []
         for data in left["data"]:
-            text, words = stream(data)
-            words.append(END_TOKEN)
-            found = [x for w in words if (x := of(w)) is not None]
-            texts.append(text)
-            n_tokens.append(len(words))
-            n_known.append(len(found))
-            base.append(sum(found) - len(words) * floor)
-        return pd.DataFrame({"id": left["id"], "learn": left["learn"], "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": shared().score(texts)})
+            tokens = data.lower().split()
+            encoded.append(model.encode(tokens))
+            tokens.append(END_TOKEN)
+            base, n_known, rare = map(sum, zip(*[parts.get(t, unknown) for t in tokens], strict=True))
+            if END_TOKEN not in counts:
+                rare -= unknown[2]  # the end has a symbol of its own, seen or not
+            out.append((len(tokens), n_known, base - len(tokens) * floor, rare))
+        keys, lengths = keys_of(encoded, len(model.levels))
+        logs = np.add.reduceat(model.log10(keys), np.concatenate([[0], np.cumsum(lengths)[:-1]]))
+        n_tokens, n_known, base, rare = zip(*out, strict=True)
+        return pd.DataFrame({"id": left["id"], "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": logs + np.array(rare)})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = dealt.groupBy("block").cogroup(known.select("block", "token", "c").groupBy("block")).applyInPandas(score_block, f"id {kind}, learn boolean, n_tokens long, n_known long, base_score double, score double")
+    blocks = dealt.select("block", "id", "data").groupBy("block").cogroup(known.select("block", "token", "c").groupBy("block"))
+    scored = blocks.applyInPandas(score_block, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
     held = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % held_out_of == held_out, F.lit(False))
-    return scored.select(F.col("id").alias(id_col), held.alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select(F.col("id").alias(id_col), held.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

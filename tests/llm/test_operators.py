@@ -338,7 +338,7 @@ def test_op7_counts_and_beats_the_unigrams(spark, documents):
     got = queries.op7_suffix_tree(spark, SF).collect()
     check_base(documents, got)
     held = [r for r in got if r["held_out"]]
-    assert sum(r["score"] for r in held) > 0.9 * sum(r["base_score"] for r in held)
+    assert sum(r["score"] for r in held) > 0.9 * sum(r["base_score"] for r in held)  # both are negative
     assert sum(r["score"] > r["base_score"] for r in held) > 0.9 * len(held)
 
 
@@ -350,33 +350,29 @@ def test_suffix_tree_of_odd_rows_and_of_nothing(spark, odd):
     assert suffix_tree.score(spark.createDataFrame([(None, "a b", "en", "s", 3)], DOCS).select("doc_id", "text")).first()["train_tokens"] == 0
 
 
-def test_tree_is_a_distribution_and_reads_the_longest_suffix():
-    texts = [b"abra cadabra", b"abracadabra abra", b"cad"] * 20
-    counts = defaultdict(lambda: defaultdict(int))
-    for t in texts:
-        s = b"\xff" * 6 + t + b"\xff"
-        for k in range(6, len(s)):
-            for d in range(4):
-                counts[s[k - d : k]][s[k]] += 1
-    kept = {c: dict(n) for c, n in counts.items() if sum(n.values()) > 10}
-    tree = suffix_tree.Tree(kept)
-    other = tree.log10[:, -1].astype(float)
-    total = (10 ** tree.log10[:, :-1].astype(float)).sum(axis=1) + 10**other * (256 - tree.log10.shape[1] + 1)
-    assert np.allclose(total, 1, atol=1e-4)
-
-    def plain(text):
-        s, out = b"\xff" * 6 + text + b"\xff", 0.0
-        for k in range(6, len(s)):
-            chance = 1 / 256
-            for d in range(7):
-                nexts = kept.get(s[k - d : k])
-                if nexts:
-                    chance = (nexts.get(s[k], 0) + suffix_tree.SMOOTHING * chance) / (sum(nexts.values()) + suffix_tree.SMOOTHING)
-            out += math.log10(chance)
-        return out
-
-    tests = [b"abra", b"", b"xyz abra", b"abracadabra " * 60]
-    assert np.allclose(tree.score(tests), [plain(t) for t in tests], rtol=1e-4)
+def test_tree_is_a_distribution_over_its_contexts(spark):
+    rng = np.random.default_rng(5)
+    texts = [(k, " ".join(["the quick fox" if rng.random() < 0.5 else str(rng.choice(["a", "b", "the", f"w{rng.integers(900)}"])) for _ in range(200)]).encode()) for k in range(60)]
+    seen = Counter(t for _, d in texts for t in [*d.split(), suffix_tree.END_TOKEN])
+    docs, counts = spark.createDataFrame(texts, "id long, data binary"), spark.createDataFrame(list(seen.items()), "token binary, c long")
+    tree, total, distinct = suffix_tree.fit(docs, counts)
+    assert (total, distinct) == (sum(seen.values()), len(seen))
+    of = tree.symbols
+    assert len(tree.levels[0]["contexts"]) > 0
+    every = np.arange(len(tree.chance))
+    for context in ((of[b"the"], of[b"quick"]), (of[b"a"], of[b"b"]), (0, 0), (1, 1)):
+        p = 10 ** tree.log10((context[0] << 30) + (context[1] << 15) + every)
+        assert math.isclose(p.sum(), 1, rel_tol=1e-9)
+    assert 10 ** tree.log10(np.array([(of[b"the"] << 30) + (of[b"quick"] << 15) + of[b"fox"]]))[0] > 0.9
+    rare = [c for t, c in seen.items() if t not in of]
+    assert math.isclose(sum(10 ** tree.within(c) for c in rare) + 10 ** tree.within(0), 1, rel_tol=1e-9)
+
+
+def test_keys_do_not_cross_texts():
+    keys, lengths = suffix_tree.keys_of([[5, 6], [], [7]], 2)
+    split = [tuple((int(k) >> s) & 32767 for s in (30, 15, 0)) for k in keys]
+    assert lengths.tolist() == [3, 1, 2]
+    assert split == [(0, 0, 5), (0, 5, 6), (5, 6, 0), (0, 0, 0), (0, 0, 7), (0, 7, 0)]
 
 
 # -- classifiers ------------------------------------------------------------------------------------------------------------
