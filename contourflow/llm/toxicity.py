@@ -156,7 +156,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for label, text in zip(pdf["label"].tolist(), pdf["text"], strict=True):
                 seen[label].update(features(words_of(text)))
         both = list(seen[0] | seen[1])
-        yield pd.DataFrame({"feature": both, "neg": [seen[0][f] for f in both], "pos": [seen[1][f] for f in both]}).astype({"neg": "int64", "pos": "int64"})
+        for at in range(0, len(both), 20_000):
+            part = both[at : at + 20_000]
+            yield pd.DataFrame({"feature": part, "neg": [seen[0][f] for f in part], "pos": [seen[1][f] for f in part]}).astype({"neg": "int64", "pos": "int64"})
 
     sizes = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
