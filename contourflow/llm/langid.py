@@ -16,35 +16,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documents that a language's dictionary is made of (about), code points taken of each, and bytes of the dictionary at most.
-SAMPLE = 160
-SAMPLE_CHARS = 1500
-DICTIONARY_BYTES = 112 << 10
+SAMPLE = 200
+SAMPLE_CHARS = 600
+DICTIONARY_BYTES = 48 << 10
 MOST_LANGUAGES = 200
-CHUNK = 4096
-LEVEL = 3
+CHUNK = 2048
 LEAST_MARGIN = 0.01
+#: Short matches tell languages apart, so the search is a thorough one for matches from three bytes on.
+COMPRESSION = {"strategy": zstandard.STRATEGY_BTOPT, "min_match": 3, "search_log": 5, "window_log": 17, "hash_log": 15, "chain_log": 16}
 
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
+_REST = regex.compile(r"[^\p{L}]+")
+
+
+def letters(text: str) -> bytes:
+    """Lower-cased letters with single spaces between; digits and marks cost as much in any language."""
+    return _REST.sub(" ", text.lower()).encode("utf-8", "replace")
 
 
 class Model:
     """dictionaries: language -> raw content, the most frequent language first (it wins ties)."""
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL) -> None:
-        self.dictionaries, self.level = dictionaries, level
+    def __init__(self, dictionaries: dict[str, bytes]) -> None:
+        self.dictionaries = dictionaries
         self._made: dict[str, zstandard.ZstdCompressor] | None = None
 
     def __getstate__(self) -> dict:
-        return {"dictionaries": self.dictionaries, "level": self.level, "_made": None}
+        return {"dictionaries": self.dictionaries, "_made": None}
 
     def sizes(self, data: bytes) -> dict[str, int]:
         if self._made is None:
-            self._made = {}
+            self._made, how = {}, zstandard.ZstdCompressionParameters(**COMPRESSION, write_checksum=False, write_content_size=False, write_dict_id=False)
             for lang, content in self.dictionaries.items():
                 trained = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                trained.precompute_compress(level=self.level)
-                self._made[lang] = zstandard.ZstdCompressor(level=self.level, dict_data=trained, write_checksum=False, write_content_size=False, write_dict_id=False)
+                trained.precompute_compress(compression_params=how)
+                self._made[lang] = zstandard.ZstdCompressor(dict_data=trained, compression_params=how)
         chunks = [data[k : k + CHUNK] for k in range(0, len(data), CHUNK)]
         return {lang: sum(len(made.compress(c)) for c in chunks) for lang, made in self._made.items()}
 
@@ -52,8 +59,7 @@ class Model:
         """Language, score, margin (the second size's excess over the best, as a share of it) and whether the margin is too narrow."""
         if not text or not _LETTER.search(text) or not self.dictionaries:
             return UNKNOWN, 0.0, 0.0, True
-        # Digits and marks say nothing of the language but cost bytes in every one alike.
-        sizes = self.sizes(text.lower().encode("utf-8", "replace"))
+        sizes = self.sizes(letters(text))
         ranked = sorted(sizes.items(), key=lambda kv: kv[1])
         best, least = ranked[0]
         second = ranked[1][1] if len(ranked) > 1 else 2 * least
@@ -80,7 +86,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     chosen = chosen.filter(F.col("text").rlike(r"\p{L}")).orderBy("order", "text").limit(2 * sample * len(counts)).collect()
     dictionaries = {}
     for lang in sorted(counts, key=lambda x: (-counts[x], x)):
-        content = b"\n".join(r["text"].lower().encode() for r in chosen if r["lang"] == lang)
+        content = b" ".join(letters(r["text"]) for r in chosen if r["lang"] == lang)
         dictionaries[lang] = content[:DICTIONARY_BYTES] or b" " * 8
     return Model(dictionaries)
 
