@@ -47,10 +47,11 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float =
     return levels.withColumn("shared", shared).select("source", "source_size", F.least(F.coalesce(F.col("shared") * F.col("weight"), F.col("cap")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weight: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, most: float = MOST_EPOCHS, share: float = 1.0, whole: bool = False, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, weight: Column | None = None, weight_of: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, most: float = MOST_EPOCHS, share: float = 1.0, whole: bool = False, seed: str = "mix") -> DataFrame:
     """(id_col, row_hash, source, size, source_size, target, epochs, part, taken), a row for each row of docs.
 
-    size: words of the text, 0 for null. weight: a row's quality weight, positive; null or none counts as 1. epochs: how often the
+    size: words of the text, 0 for null. weight: a row's quality weight, positive; null or none counts as 1. weight_of: weights by id, (label_id, quality_weight) with
+    one row an id, in its place; they meet the rows' sizes and hashes, not their texts. epochs: how often the
     whole source is taken; part: how many words the last, fractional epoch takes of the row. With `whole` the row at the end of the budget is
     taken whole if at least half of it fits, else not at all. A null source is a source of its own. Ties in the key (repeated rows) go by
     id and row_hash; equal rows are interchangeable. Reruns give equal results: keys hang on id and text alone. Rows of size 0 take nothing.
@@ -58,6 +59,9 @@ def mix(docs: DataFrame, weight: Column | None = None, id_col: str = "doc_id", t
     quality = F.lit(1.0) if weight is None else F.coalesce(weight.cast("double"), F.lit(1.0))
     text_hash = F.xxhash64(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(text_col).alias("size"), text_hash.alias("row_hash"), quality.alias("quality"))
+    if weight_of is not None:
+        narrow = materialize(rows.drop("quality"), "sizes")
+        rows = narrow.join(weight_of, narrow["id"] == weight_of["label_id"], "left").withColumn("quality", F.coalesce("quality_weight", F.lit(1.0)))
     key = -F.log(unit_hash(F.col("id"), F.col("row_hash"), seed=seed)) / F.col("quality")
     rows = rows.withColumn("key", key)
     n = docs.count()

@@ -32,15 +32,9 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(table(spark, sf_dir, "documents"))
 
 
-def weighted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with quality_weight, null where there is no label."""
-    weights = mixing.label_weights(labels)
-    return docs.join(weights, docs["doc_id"] == weights["label_id"], "left").select("doc_id", "text", "source", "quality_weight")
-
-
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = weighted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return mixing.mix(docs, F.col("quality_weight")).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
+    weights = mixing.label_weights(table(spark, sf_dir, "labels"))
+    return mixing.mix(table(spark, sf_dir, "documents"), weight_of=weights).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

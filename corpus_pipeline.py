@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from contourflow.llm import decontam, mixing, sharding, simhash, toxicity
 from contourflow.llm.common import shared_path, table
-from contourflow.llm.queries import SHARDS, weighted
+from contourflow.llm.queries import SHARDS
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents are taken whole. Documents without words, which the mix neither needs nor counts, go. Rows that repeat an id and text count together.
     """
     docs = docs.select(*COLUMNS)
-    mixed = mixing.mix(weighted(docs, table(spark, sf_dir, "labels")), F.col("quality_weight"), whole=True)
+    mixed = mixing.mix(docs, weight_of=mixing.label_weights(table(spark, sf_dir, "labels")), whole=True)
     times = F.when(F.col("size") > 0, F.col("epochs") + (F.col("part") > 0).cast("long")).otherwise(F.lit(0))
     picks = mixed.groupBy(F.col("doc_id").alias("id"), "row_hash").agg(F.sum(times).alias("times"), F.count("*").alias("n"))
     rows = docs.withColumn("_hash", F.xxhash64("text"))
