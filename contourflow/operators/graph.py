@@ -11,7 +11,7 @@ import pandas as pd
 from contourflow.functions.costs import CostModel, resolve
 from contourflow.kernels.labels import union
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,15 +26,19 @@ KERNEL_EDGES = 8_000_000
 _fallback: list[str] = []
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A table of df in the folder that spark.checkpoint.dir names, read again."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; in a temporary one only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         if not _fallback:
             _fallback.append(tempfile.mkdtemp(prefix="contourflow-"))
         root = _fallback[0]
-    path = f"{root.rstrip('/')}/contourflow-graph-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/contourflow-graph-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A table of df in the shared folder, read again."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from contourflow import bind
 from contourflow.functions import costs, text, values
-from contourflow.operators import checks, graph, polyline, raster, search, stats
+from contourflow.operators import checks, graph, polyline, raster, sampling, search, smoothing, stats
+from contourflow.plans import tables, units
+from contourflow.sources import noise
+from contourflow.streaming import status
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -418,11 +421,11 @@ def curve_radii(spark, sf_dir):
     return found.select("path_id", "k", F.round(1 / F.nullif(F.round(values.finite(F.col("radius_m")), 3), F.lit(0.0)), 5).alias("curvature"))
 
 
-PAIRED = "pairs AS (SELECT path_id AS pair_id, path_id AS a, path_id + 1 AS b FROM (SELECT DISTINCT path_id FROM points) WHERE path_id % 3 = 0)"
+PAIRED = "pairs AS (SELECT path_id AS pair_id, path_id AS a, path_id + 1 AS b FROM (SELECT DISTINCT path_id FROM points))"
 
 
 def _pairs(points: DataFrame) -> DataFrame:
-    return points.select("path_id").distinct().filter("path_id % 3 = 0").select(F.col("path_id").alias("pair_id"), F.col("path_id").alias("a"), (F.col("path_id") + 1).alias("b"))
+    return points.select("path_id").distinct().select(F.col("path_id").alias("pair_id"), F.col("path_id").alias("a"), (F.col("path_id") + 1).alias("b"))
 
 
 @query(f"""WITH points AS ({bind.EMBEDDING_PATHS}), {PAIRED}, d AS (SELECT pair_id, p.seq AS i, q.seq AS j, sqrt(power(p.x_m - q.x_m, 2) + power(p.y_m - q.y_m, 2)) AS d FROM pairs JOIN points p ON p.path_id = a JOIN points q ON q.path_id = b),
@@ -674,3 +677,80 @@ def typed_csv(spark, sf_dir):
 def significant_digits(spark, sf_dir):
     rows = bind.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice").distinct()
     return rows.withColumn("short", values.significant(F.col("l_extendedprice") / 7, 9))
+
+
+# -- smoothing, sampling, sources, streams, tables --------------------------------------------------------------------------
+
+
+@query()
+def smooth_before_after(spark, sf_dir):
+    classes = checks.road_classes(spark).filter("name = 'STAS863_V25'")
+    found = smoothing.guarded(smoothing.before_after(bind.event_paths(spark, sf_dir), classes, ("baseline",)), classes)
+    return found.select("path_id", "road_class", "arm", r6("deviation_m").alias("deviation_m"), "accepted", "warning")
+
+
+@query("WITH r AS (SELECT event_id, event_id % 13 AS before, event_id % 17 AS after FROM events) SELECT event_id, NOT (before <= 8.0 AND after > 8.0) AS accepted FROM r")
+def guard_decision(spark, sf_dir):
+    e = bind.table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    rows = e.select("event_id", F.lit("STAS863_V25").alias("road_class"), (k % 13).cast("double").alias("i_before"), (k % 17).cast("double").alias("i_after"), F.lit(False).alias("hit_cap"), F.lit(False).alias("degenerate"), F.lit(1.0).alias("r_min_before"), F.lit(1.0).alias("r_min_after"))
+    return smoothing.guarded(rows, checks.road_classes(spark)).select("event_id", "accepted")
+
+
+@query()
+def absorbed_runs(spark, sf_dir):
+    st = bind.event_paths(spark, sf_dir).select("path_id", F.col("seq").alias("k"), (F.col("seq") * 10.0).alias("s"), (F.col("z_m") > 48).alias("is_curve"))
+    return smoothing.absorbed(st, 20.0).groupBy("path_id").agg(F.count_if("is_curve").alias("n_curve"), F.count("*").alias("n"))
+
+
+@query()
+def od_audit(spark, sf_dir):
+    labelled = graph.cut_lineage(_hill_areas(spark, sf_dir))
+    return sampling.acceptance(sampling.sample_pairs(labelled, graph.area_edges(labelled), 60, 60, sampling.seed_for(7), diagonal=0.4))
+
+
+@query()
+def synthetic_terrain(spark, sf_dir):
+    return noise.terrain(spark, "noise", 40, 4, 100.0, 160.0, 7).select("node", "i", "j", r6("z").alias("z"))
+
+
+@query("SELECT user_id AS unit_id, arg_max(event_id, (ts, event_id)) AS run_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY 1")
+def event_latest_stream(spark, sf_dir):
+    schema = bind.table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    log = stream.select(F.col("user_id").alias("unit_id"), F.col("event_id").alias("run_id"), F.col("event_type").alias("status"), F.col("ts").alias("at"))
+    folder = graph.shared_folder(spark)
+    status.into_table(status.latest(log), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/table").select("unit_id", "run_id", "status")
+
+
+TABLE_ROWS = f"{ROWS}, t AS (SELECT scenario, arm, CAST(line AS BIGINT) AS grp, CAST(nodes AS DOUBLE) AS objective, cents / 100.0 AS length_m, CAST(nodes AS DOUBLE) AS nodes, n_lines / 10.0 AS search_s FROM results), v AS (SELECT r.*, b.objective AS ob, b.length_m AS lb, b.nodes AS nb, b.search_s AS sb FROM t r LEFT JOIN t b ON b.scenario = r.scenario AND b.arm = 'A' WHERE r.arm <> 'A')"
+
+
+def _table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bind.result_rows(spark, sf_dir)
+    return rows.select("scenario", F.when(F.col("arm") == "A", "full").otherwise(F.col("arm")).alias("arm"), F.col("line").alias("grp"), F.col("nodes").cast("double").alias("objective"), (F.col("cents") / 100.0).alias("length_m"), F.col("nodes").cast("double").alias("nodes"), (F.col("n_lines") / 10.0).alias("search_s"), F.lit(2.0).alias("build_s"), F.col("nodes").cast("double").alias("hausdorff_m"))
+
+
+@query(f"""{TABLE_ROWS} SELECT grp, arm, count(*) AS n, round(avg(CASE WHEN ob >= 25 THEN objective / ob END), 6) AS objective_mean, round(stddev_samp(CASE WHEN ob >= 25 THEN objective / ob END), 6) AS objective_sd, round(avg(length_m / lb), 6) AS length_mean,
+  round(avg(search_s / sb), 6) AS search_mean, median(objective) AS hausdorff_median, round(median(CASE WHEN sb > search_s THEN 2.0 / (sb - search_s) END), 6) AS break_even_median, CAST(count(CASE WHEN NOT coalesce(sb > search_s, FALSE) THEN 1 END) AS BIGINT) AS never_repaid FROM v GROUP BY 1, 2""")
+def table_reduction(spark, sf_dir):
+    t = tables.reduction(_table_rows(spark, sf_dir), ["scenario"], ["grp"])
+    rounded = {"objective_mean": "objective_mean", "objective_sd": "objective_sd", "length_m_mean": "length_mean", "search_s_mean": "search_mean", "break_even_median": "break_even_median"}
+    return t.select("grp", "arm", "n", "hausdorff_median", "never_repaid", *[r6(c).alias(n) for c, n in rounded.items()])
+
+
+@query(f"{JUDGED} SELECT road_class, name, count(CASE WHEN n_applicable > 0 THEN 1 END) AS n_checked, round(count(CASE WHEN n_violations > 0 AND n_applicable > 0 THEN 1 END) / nullif(count(CASE WHEN n_applicable > 0 THEN 1 END), 0), 6) AS share_failing, round(avg(CASE WHEN n_applicable > 0 THEN violation_length_m END), 4) AS length_mean, round(stddev_samp(CASE WHEN n_applicable > 0 THEN violation_length_m END), 4) AS length_sd FROM checked GROUP BY 1, 2")
+def table_compliance(spark, sf_dir):
+    t = tables.compliance(checks.check_stations(_judged(spark, sf_dir), checks.road_classes(spark)), ["road_class"])
+    return t.select("road_class", "name", "n_checked", r6("share_failing").alias("share_failing"), F.round("length_mean", 4).alias("length_mean"), F.round("length_sd", 4).alias("length_sd"))
+
+
+@query(f"{TABLE_ROWS}, m AS (SELECT grp, median(objective) AS median FROM t GROUP BY 1), o AS (SELECT *, median >= lag(median) OVER (ORDER BY grp) AS ok FROM m) SELECT grp, median, (SELECT coalesce(bool_and(ok), TRUE) FROM o) AS monotone FROM m")
+def table_acceptance(spark, sf_dir):
+    return tables.acceptance(_table_rows(spark, sf_dir), "grp", "objective")
+
+
+@query("""SELECT 'X1-s' || s || '-n120-p4-r20-d3' AS unit_id, 14400 AS cells FROM (VALUES (0), (1)) v(s)""")
+def experiment_units(spark, sf_dir):
+    return units.lane(units.units(spark, "X1", "quick"), {"size": {"max": 200}, "contains": "p4"}).select("unit_id", F.col("cells").cast("int").alias("cells"))
