@@ -82,7 +82,8 @@ def _frequency(texts: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
         for pdf in batches:
             for data in pdf["data"]:
                 seen.update(vocabulary.intersection(split_words(data)))
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())}).astype({"n": "int64"})
+        if seen:
+            yield pd.DataFrame({"word": list(seen), "n": list(seen.values())}).astype({"n": "int64"})
 
     total = texts.select("data").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {bytes(r["word"]): r["n"] for r in total.collect()}
