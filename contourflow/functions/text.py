@@ -17,6 +17,7 @@ def thousands(x: Column) -> Column:
 
 
 def decimals(x: Column, digits: int) -> Column:
+    """So many decimals; halves go to the even digit."""
     return negative(F.format_string(f"%.{digits}f", F.bround(x.cast("double"), digits)))
 
 

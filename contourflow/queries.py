@@ -659,7 +659,7 @@ def monotone_medians(spark, sf_dir):
     return stats.monotone(medians, "line", "m", ["all"]).select("monotone").crossJoin(medians.agg(F.count("*").alias("n_classes")))
 
 
-@query(f"{ROWS} SELECT arm, format('{{:.2f}} ± {{:.2f}}', avg(nodes), stddev_samp(nodes)) AS nodes, format('{{:.1f}}%', 100.0 * count(CASE WHEN n_lines > 4 THEN 1 END) / count(*)) AS long FROM results GROUP BY 1")
+@query(f"{ROWS} SELECT arm, format('{{:.2f}} ± {{:.2f}}', round_even(avg(nodes), 2), round_even(stddev_samp(nodes), 2)) AS nodes, format('{{:.1f}}%', round_even(100.0 * count(CASE WHEN n_lines > 4 THEN 1 END) / count(*), 1)) AS long FROM results GROUP BY 1")
 def table_cells(spark, sf_dir):
     rows = bind.result_rows(spark, sf_dir).groupBy("arm").agg(F.avg("nodes").alias("m"), F.stddev_samp("nodes").alias("sd"), (F.count_if(F.col("n_lines") > 4) / F.count("*")).alias("p"))
     return rows.select("arm", text.mean_sd(F.col("m"), F.col("sd")).alias("nodes"), text.percent(F.col("p")).alias("long"))
