@@ -68,4 +68,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_quality, op3_fingerprints, op4_mixing, op5_decontamination, op6_language, op7_suffix_tree, op8_warc, op9_simhash, op10_sharding)
 }
 
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+def _bench_words(column: str) -> str:
+    return rf"regexp_extract_all(translate(coalesce({column}, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _base32(hexadecimal: str) -> str:
+    """Base32 of 20 bytes in hexadecimal: four letters for every five digits."""
+    letter = f"substr('{_BASE32}', (CAST(CAST('0x' || substr({hexadecimal}, 5 * g + 1, 5) AS INT) AS INT) >> (15 - 5 * k)) % 32 + 1, 1)"
+    letters = "".join(f" || {letter.replace('5 * g + 1', str(5 * g + 1)).replace('(15 - 5 * k)', str(15 - 5 * k))}" for g in range(8) for k in range(4))
+    return letters.removeprefix(" || ")
+
+
+ORACLES: dict[str, str] = {
+    "op5_decontamination": f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_bench_words('text')} AS w FROM documents),
+  items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_bench_words('text')} AS w FROM benchmark),
+  windows AS (SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[k:k + 12], ' ') AS gram FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM items WHERE len(w) > 0)),
+  places AS (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS gram FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+  found AS (SELECT p.r, p.k, p.n, v.item FROM places p JOIN windows v ON v.n = p.n AND v.gram = p.gram),
+  hit AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS place FROM found) GROUP BY 1),
+  named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM found) GROUP BY 1)
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+  FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)""",
+    "op8_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS least FROM pages), h AS (SELECT *, sha1(html) AS x FROM p)
+  SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_base32('x')} AS payload_digest, CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to FROM h""",
+}
