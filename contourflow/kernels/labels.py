@@ -16,3 +16,20 @@ def union(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         while not np.array_equal(up := root[root], root):
             root = up
     return root
+
+
+def inscribed(inside: np.ndarray) -> float:
+    """Largest distance from a cell inside to the nearest one outside, exact, by squared distances along columns and then rows."""
+    far = float(sum(inside.shape))
+    down = np.zeros(inside.shape)
+    for step in (1, -1):
+        run = np.zeros(inside.shape[1])
+        for k in range(inside.shape[0])[::step]:
+            run = np.where(inside[k], run + 1, 0)
+            down[k] = run if step == 1 else np.minimum(down[k], run)
+    best, columns = 0.0, np.arange(inside.shape[1])
+    for row in down:
+        if row.any():
+            near = ((columns[:, None] - columns[None, :]) ** 2 + row[None, :] ** 2).min(axis=1)
+            best = max(best, float(near[row > 0].max()))
+    return min(far, best**0.5)

@@ -3,6 +3,7 @@ jumps of the highest derivative is set so that it does."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -169,22 +170,51 @@ class Search:
     curve: np.ndarray
 
 
-def largest_s(points: np.ndarray, budget: float, most: float = MOST_S, tolerance: float = S_TOLERANCE) -> Search:
-    """The largest s whose curve stays within the budget of the curve through all points: doubling from 1, then bisection (SM-6)."""
+def to_polyline(points: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Distance of each point to the nearest place on a line's segments, by blocks of points."""
+    a, d = line[:-1], line[1:] - line[:-1]
+    size = np.maximum((d**2).sum(axis=1), 1e-300)
+    out = np.empty(len(points))
+    for k in range(0, len(points), 256):
+        p = points[k : k + 256, None, :] - a[None]
+        t = np.clip((p * d[None]).sum(axis=2) / size, 0.0, 1.0)
+        out[k : k + 256] = np.sqrt(((p - t[:, :, None] * d[None]) ** 2).sum(axis=2)).min(axis=1)
+    return out
+
+
+def element_deviations(base: np.ndarray, curve: np.ndarray, is_curve: np.ndarray) -> list[tuple[bool, float]]:
+    """Each element of the base curve, a run of curve or tangent, with its largest distance from the other curve (PL-23)."""
+    d = to_polyline(base, curve)
+    cuts = np.flatnonzero(is_curve[1:] != is_curve[:-1]) + 1
+    return [(bool(is_curve[part[0]]), float(d[part].max())) for part in np.split(np.arange(len(base)), cuts)]
+
+
+def largest_s(points: np.ndarray, budget: float, most: float = MOST_S, tolerance: float = S_TOLERANCE, is_curve: Callable[[np.ndarray], np.ndarray] | None = None, tangent_budget: float = 0.0) -> Search:
+    """The largest s whose curve stays within the budget of the curve through all points: doubling from 1, then bisection (SM-6).
+
+    is_curve: which places of that curve lie in curves; then each curve has the budget and each tangent the tangent_budget for itself (SM-11).
+    """
     smoother = Smoother(points)
     base = sampled(smoother.fit(0.0), len(points))
     if len(points) < 4:
         return Search(0.0, 0.0, 0, False, True, base)
+    bends = None if is_curve is None else is_curve(base)
     tried, good, bad, held = 0, 0.0, None, (0.0, base)
 
     def within(s: float) -> bool:
         nonlocal tried, held
         tried += 1
         curve = sampled(smoother.fit(s), len(points))
-        d = hausdorff(curve, base)
-        if d <= budget:
+        if is_curve is None:
+            d = hausdorff(curve, base)
+            ok = d <= budget
+        else:
+            parts = element_deviations(base, curve, bends)
+            d = max(x for _, x in parts)
+            ok = all(x <= (budget if bend else tangent_budget) for bend, x in parts)
+        if ok:
             held = (d, curve)
-        return d <= budget
+        return ok
 
     s = 1.0
     while s <= most:

@@ -9,7 +9,8 @@ import contourflow
 import numpy as np
 import pandas as pd
 from contourflow.functions.costs import CostModel, resolve
-from contourflow.kernels.labels import union
+from contourflow.kernels.labels import inscribed, union
+from contourflow.kernels.search import Graph, hop_diameter
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -234,3 +235,67 @@ def descriptors(labelled: DataFrame, connectivity: int = 8) -> DataFrame:
     )
     out = out.join(parts, "terrain_id")
     return out.withColumns({"cyclomatic": F.col("n_edges") - F.col("n_areas") + F.col("n_components"), "planarity": F.when(F.col("n_areas") >= 3, F.col("n_edges") / (3 * F.col("n_areas") - 6))})
+
+
+def boundary_components(labelled: DataFrame, connectivity: int = 8) -> DataFrame:
+    """(terrain_id, a, b, node, arc): the cells on either side of each pair's border, by connected stretch; an arc is named by its smallest cell (GR-11)."""
+    pairs = crossings(labelled, connectivity).select("terrain_id", F.col("area_low").alias("a"), F.col("area_high").alias("b"), F.explode(F.array("node_low", "node_high")).alias("node")).distinct()
+    zones = cut_lineage(pairs.join(labelled.select("terrain_id", "node", "i", "j", "valid"), ["terrain_id", "node"]).withColumn("terrain_id", F.concat_ws("#", "terrain_id", "a", "b")))
+    arcs = components(zones, _neighbours(zones, connectivity, True, []))
+    named = arcs.withColumn("parts", F.split("terrain_id", "#"))
+    at = lambda k: F.element_at("parts", k)
+    return named.select(F.array_join(F.slice("parts", F.lit(1), F.size("parts") - 2), "#").alias("terrain_id"), at(-2).cast("long").alias("a"), at(-1).cast("long").alias("b"), "node", F.col("root").alias("arc"))
+
+
+def areas_without_equal_neighbours(labelled: DataFrame, connectivity: int = 8) -> DataFrame:
+    """Pairs of touching areas of one height; there are none (GR-13)."""
+    areas = area_table(labelled).select("terrain_id", "area_id", "area_height")
+    pairs = area_edges(labelled, connectivity)
+    for end in ("a", "b"):
+        pairs = pairs.join(areas.select("terrain_id", F.col("area_id").alias(end), F.col("area_height").alias(f"h_{end}")), ["terrain_id", end])
+    return pairs.filter("h_a = h_b")
+
+
+def contour(labelled: DataFrame, connectivity: int = 4) -> DataFrame:
+    """Cells of each area with a neighbour that is not of it, or none (GR-12)."""
+    same = _neighbours(labelled, connectivity, False, ["area_id"]).filter("area_id_u = area_id_v").groupBy("terrain_id", F.col("u").alias("node")).agg(F.count("*").alias("n"))
+    inner = same.filter(F.col("n") == connectivity).select("terrain_id", "node")
+    return labelled.join(inner, ["terrain_id", "node"], "left_anti")
+
+
+def selection(chain: DataFrame, labelled: DataFrame, edges: DataFrame, rings: int | None) -> DataFrame:
+    """Areas of a chain with k rings around; None: all areas (GR-21)."""
+    if rings is None:
+        return labelled.select("terrain_id", "area_id").distinct()
+    return dilate(chain, edges, rings)
+
+
+def space_share(labelled: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Share of the valid cells that lie in the chosen areas (GR-22)."""
+    marked = labelled.join(chosen.select("terrain_id", "area_id").distinct().withColumn("_in", F.lit(1)), ["terrain_id", "area_id"], "left")
+    return marked.groupBy("terrain_id").agg((F.count("_in") / F.count("*")).alias("share"), F.count("_in").alias("n_cells"), F.count_distinct(F.when(F.col("_in") == 1, F.col("area_id"))).alias("n_areas"))
+
+
+def hop_diameters(edges: DataFrame, sweeps: int = 4) -> DataFrame:
+    """A lower bound of each terrain's hop diameter on its largest component (GR-33). edges: a, b."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        u, v = np.concatenate([pdf["a"], pdf["b"]]), np.concatenate([pdf["b"], pdf["a"]])
+        return pd.DataFrame({"terrain_id": [key[0]], "hop_diameter": [hop_diameter(Graph.of(u, v, np.ones(len(u))), sweeps)]})
+
+    return edges.groupBy("terrain_id").applyInPandas(run, "terrain_id string, hop_diameter long")
+
+
+def widths(labelled: DataFrame, cell_m: float = 1.0) -> DataFrame:
+    """(terrain_id, area_id, width_m): twice the largest distance of a cell to the nearest cell outside its area, of each area (GR-34).
+
+    Distances are found by erosion in rings: a group is one area's cells, whose number of rings is its width.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["i"].to_numpy(), pdf["j"].to_numpy()
+        inside = np.zeros((i.max() - i.min() + 3, j.max() - j.min() + 3), dtype=bool)
+        inside[i - i.min() + 1, j - j.min() + 1] = True
+        return pd.DataFrame({"terrain_id": [key[0]], "area_id": [key[1]], "width_m": [2 * inscribed(inside) * cell_m]})
+
+    return labelled.select("terrain_id", "area_id", "i", "j").groupBy("terrain_id", "area_id").applyInPandas(run, "terrain_id string, area_id long, width_m double")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import pi
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -178,3 +179,31 @@ def map_cell(k: Column, cell_from: float, cell_to: float) -> Column:
 def pixel_to_world(row: Column, col: Column, origin_x: float, origin_y: float, pixel: float) -> tuple[Column, Column]:
     """World coordinates of a pixel; the northing falls with the row (SRC-18)."""
     return origin_x + col * pixel, origin_y - row * pixel
+
+
+def choose_windows(windows: DataFrame, n: int, seed: int, most: int = 1_000_000) -> list[tuple[int, int, int]]:
+    """n windows that do not overlap, in a seeded order (RAS-8). Corners only are gathered; more than `most` of them are refused: thin them by a stride."""
+    rows = windows.select("row0", "col0", "size").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} windows to choose from")
+    rows = sorted(tuple(r) for r in rows)
+    chosen: list[tuple[int, int, int]] = []
+    for k in np.random.default_rng(seed).permutation(len(rows)):
+        r, c, size = rows[k]
+        if all(abs(r - a) >= max(size, s) or abs(c - b) >= max(size, s) for a, b, s in chosen):
+            chosen.append((r, c, size))
+        if len(chosen) == n:
+            break
+    return chosen
+
+
+def load_grid(cells: DataFrame, row0: int, col0: int, size: int, most_void_share: float = 0.05, low: float = -500.0, high: float = 9000.0) -> DataFrame:
+    """A square of a raster as a grid without voids: crop, refuse too many voids, fill, check the heights (SRC-7, SRC-8)."""
+    square = crop(cells, row0, col0, size, size)
+    n, void = square.agg(F.count("*"), F.count_if(~F.col("valid"))).first()
+    if n < size * size or void > most_void_share * n:
+        raise ValueError(f"{size * size - n + void} of {size * size} cells are void")
+    filled = fill_voids(square, size, size)
+    out = filled.select("terrain_id", "node", "i", "j", "z", F.lit(True).alias("valid"), "was_void")
+    assert_plausible(out, low, high)
+    return out

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from contourflow.kernels.runs import absorb_short, thin, with_midpoints
 from contourflow.kernels.spline import largest_s
+from contourflow.operators.polyline import straight_radius
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -19,7 +20,9 @@ cloudpickle.register_pickle_by_value(contourflow)
 
 #: Budget of the deviation as a share of the class's smallest radius, the growth of a budget, the back-off of a radius, and how often either is changed.
 BUDGET_SHARE, GROWTH, BACK_OFF, MOST_CHANGES = 0.1, 2.0, 0.5, 8
-ARMS = ("baseline", "gradient_aware", "min_tangent", "radius_iterate", "smooth_z")
+#: Budget of a tangent, where each element has its own.
+TANGENT_SHARE = 0.3
+ARMS = ("baseline", "gradient_aware", "per_element_budget", "min_tangent", "radius_iterate", "smooth_z")
 
 
 def radii(xy: np.ndarray, step: float = 5.0, chord: float = 20.0) -> np.ndarray:
@@ -52,6 +55,11 @@ def smooth_path(xyz: np.ndarray, r_min: float, i_max: float, iterations: int = 1
         ok = run > 1e-9
         return float(np.abs(100 * np.diff(z)[ok] / run[ok]).max(initial=0.0))
 
+    def bends(curve: np.ndarray) -> np.ndarray:
+        r = radii(curve)
+        at = np.linspace(0, len(r) - 1, len(curve)).round().astype(int)
+        return r[at] < straight_radius()
+
     def once(radius: float, budget: float, drop: np.ndarray | None = None) -> tuple[np.ndarray, object]:
         xy = xyz[:, :2]
         found = None
@@ -59,7 +67,8 @@ def smooth_path(xyz: np.ndarray, r_min: float, i_max: float, iterations: int = 1
             points = with_midpoints(thin(xy, radius / cell_m), r_min)
             if drop is not None and len(points) - int(drop[: len(points)].sum()) >= 4:
                 points = points[~drop[: len(points)]]
-            found = largest_s(points, budget)
+            own = {"is_curve": bends, "tangent_budget": TANGENT_SHARE * r_min} if arm == "per_element_budget" else {}
+            found = largest_s(points, budget, **own)
             xy = found.curve
         return xy, found
 

@@ -11,6 +11,7 @@ from contourflow.plans import tables, units
 from contourflow.sources import noise
 from contourflow.streaming import status
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -754,3 +755,118 @@ def table_acceptance(spark, sf_dir):
 @query("""SELECT 'X1-s' || s || '-n120-p4-r20-d3' AS unit_id, 14400 AS cells FROM (VALUES (0), (1)) v(s)""")
 def experiment_units(spark, sf_dir):
     return units.lane(units.units(spark, "X1", "quick"), {"size": {"max": 200}, "contains": "p4"}).select("unit_id", F.col("cells").cast("int").alias("cells"))
+
+
+@query(f"""{HILL_AREAS}, zone AS (SELECT a, b, node_low AS node FROM cross_cells UNION SELECT a, b, node_high FROM cross_cells), zn AS (SELECT z.*, c.i, c.j, z.a * 100000000 + z.b * 1000000 + z.node AS id FROM zone z JOIN cells c USING (node)),
+  zt AS (SELECT x.id AS u, y.id AS v FROM zn x, steps s, zn y WHERE y.a = x.a AND y.b = x.b AND y.i = x.i + s.di AND y.j = x.j + s.dj),
+  zl(node, root) USING KEY (node) AS (SELECT id, id FROM zn UNION SELECT t.v, min(l.root) FROM zl l JOIN zt t ON t.u = l.node JOIN recurring.zl o ON o.node = t.v WHERE l.root < o.root GROUP BY t.v)
+  SELECT a, b, zn.node, zl.root - a * 100000000 - b * 1000000 AS arc FROM zl JOIN zn ON zn.id = zl.node""")
+def boundary_arcs(spark, sf_dir):
+    return graph.boundary_components(graph.cut_lineage(_hill_areas(spark, sf_dir))).select("a", "b", "node", "arc")
+
+
+@query(f"{PART_AREAS} SELECT count(*) AS n FROM pairs JOIN areas x ON x.area_id = a JOIN areas y ON y.area_id = b WHERE x.area_height = y.area_height")
+def equal_height_neighbours(spark, sf_dir):
+    labelled = graph.cut_lineage(graph.height_areas(bind.part_grid(spark, sf_dir), 10))
+    return graph.areas_without_equal_neighbours(labelled).agg(F.count("*").alias("n"))
+
+
+@query(f"""{PART_AREAS}, s AS (SELECT a.node, count(*) AS n FROM labelled a, steps s, labelled b WHERE s.k < 4 AND b.i = a.i + s.di AND b.j = a.j + s.dj AND a.area_id = b.area_id GROUP BY 1) SELECT node, area_id FROM labelled LEFT JOIN s USING (node) WHERE coalesce(n, 0) < 4""")
+def contour_cells(spark, sf_dir):
+    return graph.contour(graph.height_areas(bind.part_grid(spark, sf_dir), 10)).select("node", "area_id")
+
+
+@query(f"""{CELLS} SELECT l.arm AS arm, count(*) AS n FROM (SELECT l_returnflag AS arm, l_partkey FROM lineitem GROUP BY 1, 2) l JOIN cells c ON c.node = l.l_partkey WHERE c.z > 25 GROUP BY 1""")
+def rows_in_space(spark, sf_dir):
+    """Result rows whose scenario's cell lies in a mask (JN-8)."""
+    rows = bind.result_rows(spark, sf_dir).withColumnRenamed("scenario", "node")
+    return rows.join(bind.part_grid(spark, sf_dir).filter("z > 25").select("node"), "node", "left_semi").groupBy("arm").agg(F.count("*").alias("n"))
+
+
+@query()
+def hop_diameter(spark, sf_dir):
+    return graph.hop_diameters(graph.area_edges(graph.height_areas(bind.part_grid(spark, sf_dir), 10)))
+
+
+@query()
+def area_widths(spark, sf_dir):
+    return graph.widths(graph.height_areas(bind.part_grid(spark, sf_dir), 10)).select("area_id", r6("width_m").alias("width_m"))
+
+
+@query()
+def grade_certificates(spark, sf_dir):
+    cells = bind.part_grid(spark, sf_dir)
+    pairs = graph.cut_lineage(bind.od_pairs(cells).withColumn("terrain_id", F.lit("part")))
+    edges = graph.with_cost(graph.grid_edges(cells), "length")
+    return search.certify(pairs, edges, cells, 1.0, 1200.0).select("od_id", "verdict", r6("development").alias("development"))
+
+
+# -- data behind the figures ------------------------------------------------------------------------------------------------
+
+
+@query(f"{ROWS}, r AS (SELECT r.arm, r.nodes / CAST(b.nodes AS DOUBLE) AS q FROM results r JOIN results b ON b.scenario = r.scenario AND b.arm = 'A' WHERE r.arm <> 'A') SELECT arm, " + ", ".join(f"round(quantile_cont(q, {p}), 6) AS p{round(100 * p)}" for p in (0.05, 0.25, 0.5, 0.75, 0.95)) + " FROM r GROUP BY 1")
+def figure_reduction(spark, sf_dir):
+    rows = stats.paired_ratios(bind.result_rows(spark, sf_dir), ["scenario"], "arm", "A", "nodes")
+    p = stats.percentiles(rows, ["arm"], "ratio", (0.05, 0.25, 0.5, 0.75, 0.95))
+    return p.select("arm", *[r6(c).alias(c) for c in ("p5", "p25", "p50", "p75", "p95")])
+
+
+@query(f"{LINES} SELECT path_id, seq, round(s, 4) AS s, z_m, round(100 * (z2 - z_m) / nullif(s2 - s, 0), 4) AS gradient_percent FROM ahead")
+def figure_profile(spark, sf_dir):
+    line = polyline.chainage(bind.event_paths(spark, sf_dir))
+    ahead = lambda c: F.lead(c).over(polyline.along())
+    g = 100 * (ahead("z_m") - F.col("z_m")) / F.nullif(ahead("s") - F.col("s"), F.lit(0.0))
+    return line.select("path_id", "seq", F.round("s", 4).alias("s"), "z_m", F.round(g, 4).alias("gradient_percent"))
+
+
+@query(f"""{HILL}, g AS (SELECT c.i, c.j, (e.z - w.z) / 20 AS dx, (s.z - n.z) / 20 AS dy FROM cells c JOIN cells w ON w.i = c.i AND w.j = c.j - 1 JOIN cells e ON e.i = c.i AND e.j = c.j + 1 JOIN cells n ON n.i = c.i - 1 AND n.j = c.j JOIN cells s ON s.i = c.i + 1 AND s.j = c.j)
+  SELECT i, j, round((1 - dx - dy) / sqrt(3 * (1 + dx * dx + dy * dy)), 6) AS shade FROM g""")
+def figure_hillshade(spark, sf_dir):
+    cells = bind.hill_grid(spark, sf_dir)
+    both = cells.select("i", "j")
+    for name, di, dj in (("w", 0, -1), ("e", 0, 1), ("n", -1, 0), ("s", 1, 0)):
+        both = both.join(cells.select((F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), F.col("z").alias(name)), ["i", "j"])
+    dx, dy = (F.col("e") - F.col("w")) / 20, (F.col("s") - F.col("n")) / 20
+    return both.select("i", "j", r6((1 - dx - dy) / F.sqrt(3 * (1 + dx * dx + dy * dy))).alias("shade"))
+
+
+@query(f"{JUDGED}, bad AS (SELECT path_id, k, name, bad AND v IS NOT NULL AS bad FROM j WHERE road_class = 'STAS863_V40'), c AS (SELECT *, CASE WHEN bad <> lag(bad) OVER w THEN 1 ELSE 0 END AS c FROM bad WINDOW w AS (PARTITION BY path_id, name ORDER BY k)), r AS (SELECT *, sum(c) OVER (PARTITION BY path_id, name ORDER BY k) AS run FROM c) SELECT path_id, name, CAST(run AS BIGINT) AS run, min(k) AS k_start, max(k) AS k_end FROM r WHERE bad GROUP BY 1, 2, 3")
+def figure_violations(spark, sf_dir):
+    """Stretches of stations that break the gradient or another limit of one class: what a strip shades."""
+    st, limits = _judged(spark, sf_dir), checks.road_class(spark, "STAS863_V40")
+    stacked = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("double").alias("v"), F.lit(limits[x]).alias("l"), F.lit(way == "least").alias("least")) for n, c, x, way in checks.STATION_CHECKS])).alias("c")
+    rows = st.select("path_id", "k", stacked).select("path_id", "k", "c.*")
+    ok = F.when(F.col("least"), values.at_least(F.col("v"), F.col("l"))).otherwise(values.at_most(F.col("v"), F.col("l")))
+    w = W.partitionBy("path_id", "name").orderBy("k")
+    rows = rows.withColumn("bad", F.col("v").isNotNull() & ~ok).withColumn("c", F.when(F.col("bad") != F.lag("bad").over(w), 1).otherwise(0)).withColumn("run", F.sum("c").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return rows.filter("bad").groupBy("path_id", "name", "run").agg(F.min("k").alias("k_start"), F.max("k").alias("k_end"))
+
+
+# -- published tables: a grouped query each, from one list ------------------------------------------------------------------
+
+#: table -> (group column, measures). The tables of the studies differ in their groups and measures only; rows are the bound result rows.
+TABLE_SPECS = {
+    "terrains": ("line", ("nodes",)), "classes": ("scenario_class", ("nodes", "cents")), "search_cost": ("arm", ("n_lines",)), "quality": ("arm", ("cents",)), "engineering": ("scenario_class", ("line",)), "smoothing": ("line", ("cents",)),
+    "gradient": ("scenario_class", ("n_lines", "nodes")), "by_cell": ("cell", ("nodes", "cents")), "by_terrain": ("scenario_class", ("nodes", "n_lines", "cents")), "by_distance": ("band", ("nodes", "n_lines")), "by_interval": ("cell", ("n_lines",)), "by_cost": ("band", ("cents",)), "baseline_kinds": ("arm", ("nodes", "cents", "n_lines")),
+}
+_DERIVED = {"scenario_class": "scenario % 5", "cell": "scenario % 7", "band": "n_lines % 4", "line": "line", "arm": "arm"}
+
+
+def _published(name: str) -> None:
+    group, measures = TABLE_SPECS[name]
+    parts = ", ".join(f"round(avg({m}), 5) AS {m}_mean, round(stddev_samp({m}), 5) AS {m}_sd, median({m}) AS {m}_median" for m in measures)
+    sql = f"{ROWS} SELECT CAST({_DERIVED[group]} AS VARCHAR) AS grp, arm AS space, count(*) AS n, {parts} FROM results GROUP BY 1, 2"
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = bind.result_rows(spark, sf_dir).withColumn("grp", F.expr(_DERIVED[group]).cast("string"))
+        out = [F.count("*").alias("n")]
+        for m in measures:
+            out += [F.round(F.avg(m), 5).alias(f"{m}_mean"), F.round(F.stddev_samp(m), 5).alias(f"{m}_sd"), F.median(m).alias(f"{m}_median")]
+        return rows.groupBy("grp", F.col("arm").alias("space")).agg(*out)
+
+    run.__name__ = f"table_{name}"
+    query(sql)(run)
+
+
+for _name in TABLE_SPECS:
+    _published(_name)

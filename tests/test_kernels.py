@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from contourflow.functions import costs
 from contourflow.kernels import runs, search, spline
-from contourflow.kernels.labels import union
+from contourflow.kernels.labels import inscribed, union
 from contourflow.operators import checks, graph, polyline, raster, sampling, smoothing, stats
 from contourflow.operators import search as searches
 from pyspark.sql import functions as F
@@ -245,3 +245,55 @@ def test_points_within_spans_go(spark):
     spans = spark.createDataFrame([(1, 2.0, 4.0), (1, 3.0, 5.0), (2, 0.0, 3.0)], "path_id long, s_start double, s_end double")
     got = smoothing.drop_in_spans(points, spans).collect()
     assert sorted(r["s"] for r in got if r["path_id"] == 1) == [0, 1, 6, 7, 8, 9] and sum(r["path_id"] == 2 for r in got) == 4
+
+
+def test_inscribed_distance_is_the_brute_one():
+    rng = np.random.default_rng(6)
+    for _ in range(5):
+        inside = np.pad(rng.random((9, 11)) < 0.8, 1)
+        out = np.argwhere(~inside)
+        brute = max(float(np.sqrt(((out - c) ** 2).sum(axis=1)).min()) for c in np.argwhere(inside))
+        assert inscribed(inside) == pytest.approx(brute)
+
+
+def test_selection_share_and_pairs(spark):
+    labelled = graph.cut_lineage(graph.height_areas(cells_of(spark, BANDS), 1))
+    edges = graph.cut_lineage(graph.area_edges(labelled))
+    start = spark.createDataFrame([("t", 0)], "terrain_id string, area_id long")
+    shares = [graph.space_share(labelled, graph.selection(start, labelled, edges, k)).first() for k in (0, 1, 2, None)]
+    assert [(round(r["share"], 6), r["n_areas"]) for r in shares] == [(round(1 / 3, 6), 1), (round(2 / 3, 6), 2), (1.0, 3), (1.0, 3)]
+    assert graph.hop_diameters(edges).first()["hop_diameter"] == 2
+    assert {r["width_m"] for r in graph.widths(labelled, 10.0).collect()} == {20.0}
+    cells = cells_of(spark, np.add.outer(np.arange(20) * 0.5, np.zeros(20)))
+    pairs = spark.createDataFrame([("t", 0, 0, 399), ("t", 1, 0, 380), ("t", 2, 3, 360)], "terrain_id string, od_id long, start long, target long")
+    priced = graph.cut_lineage(graph.with_cost(graph.grid_edges(cells, 10.0), "length"))
+    found = searches.feasible_pairs(pairs, priced, cells, 10.0, 5.0, 2)
+    assert [r["od_id"] for r in found.orderBy("od_id").collect()] == [0, 1]
+    steep = searches.certify(pairs, priced, cells, 10.0, 1.0).collect()
+    assert {r["verdict"] for r in steep} == {"no_way"}
+    chosen = searches.first_or_reference(pairs, sampling.reference_pair(cells)).first()
+    assert (chosen["start"], chosen["target"], chosen["screened"]) == (0, 399, True)
+
+
+def test_windows_and_grids_of_a_raster(spark):
+    valid = np.ones((12, 12), dtype=bool)
+    valid[5, 5] = False
+    cells = cells_of(spark, np.add.outer(np.arange(12.0), np.arange(12.0)), valid)
+    windows = raster.full_windows(cells, 4)
+    chosen = raster.choose_windows(windows, 3, 1)
+    assert chosen == raster.choose_windows(windows, 3, 1) and len(chosen) == 3
+    assert all(abs(a[0] - b[0]) >= 4 or abs(a[1] - b[1]) >= 4 for a in chosen for b in chosen if a != b)
+    grid = raster.load_grid(cells, 2, 2, 8).collect()
+    assert len(grid) == 64 and sum(r["was_void"] for r in grid) == 1 and next(r["z"] for r in grid if r["was_void"]) == 9.0
+    with pytest.raises(ValueError):
+        raster.load_grid(cells, 4, 4, 3)
+
+
+def test_elements_have_budgets_of_their_own():
+    t = np.linspace(0, np.pi, 30)
+    p = np.concatenate([np.stack([np.linspace(-200, 0, 12), np.full(12, 50.0)], 1), np.stack([50 * np.sin(t[1:]), 50 * np.cos(t[1:])], 1)])
+    p += np.random.default_rng(2).normal(0, 0.4, p.shape)
+    found = spline.largest_s(p, 0.5, is_curve=lambda c: c[:, 0] > 0, tangent_budget=1.5)
+    base = spline.sampled(spline.fit(p, 0.0), len(p))
+    parts = spline.element_deviations(base, found.curve, base[:, 0] > 0)
+    assert all(d <= (0.5 if bend else 1.5) for bend, d in parts) and found.s > 0
