@@ -17,7 +17,7 @@ def part_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.lit("part").alias("terrain_id"), key.alias("node"), F.floor(key / 50).cast("int").alias("i"), (key % 50).cast("int").alias("j"), F.col("p_size").cast("double").alias("z"), F.lit(True).alias("valid"))
 
 
-PART_GRID = "SELECT 'part' AS terrain_id, p_partkey AS node, CAST(p_partkey // 50 AS INT) AS i, CAST(p_partkey % 50 AS INT) AS j, CAST(p_size AS DOUBLE) AS z, TRUE AS valid FROM part"
+PART_GRID = "SELECT p_partkey AS node, CAST(p_partkey // 50 AS INT) AS i, CAST(p_partkey % 50 AS INT) AS j, CAST(p_size AS DOUBLE) AS z, TRUE AS valid FROM part"
 
 
 def lineitem_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def lineitem_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.select(F.lit("lineitem").alias("terrain_id"), (F.col("i") * 40 + F.col("j")).cast("long").alias("node"), "i", "j", "z", F.lit(True).alias("valid"))
 
 
-LINEITEM_GRID = """SELECT 'lineitem' AS terrain_id, CAST(i * 40 + j AS BIGINT) AS node, i, j, z, TRUE AS valid FROM (
+LINEITEM_GRID = """SELECT CAST(i * 40 + j AS BIGINT) AS node, i, j, z, TRUE AS valid FROM (
   SELECT CAST(l_partkey % 40 AS INT) AS i, CAST(l_suppkey % 40 AS INT) AS j, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS z FROM lineitem GROUP BY 1, 2)"""
 
 
@@ -38,7 +38,7 @@ def hill_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select(F.lit("hill").alias("terrain_id"), "node", "i", "j", z.cast("double").alias("z"), F.lit(True).alias("valid"))
 
 
-HILL_GRID = """SELECT 'hill' AS terrain_id, node, i, j, CAST(400 - ((i - 30) * (i - 30) + (j - 20) * (j - 20)) // 8 AS DOUBLE) AS z, TRUE AS valid
+HILL_GRID = """SELECT node, i, j, CAST(400 - ((i - 30) * (i - 30) + (j - 20) * (j - 20)) // 8 AS DOUBLE) AS z, TRUE AS valid
   FROM (SELECT range AS node, CAST(range // 60 AS INT) AS i, CAST(range % 60 AS INT) AS j FROM range(3600))"""
 
 

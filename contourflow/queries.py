@@ -757,10 +757,7 @@ def experiment_units(spark, sf_dir):
     return units.lane(units.units(spark, "X1", "quick"), {"size": {"max": 200}, "contains": "p4"}).select("unit_id", F.col("cells").cast("int").alias("cells"))
 
 
-@query(f"""{HILL_AREAS}, zone AS (SELECT a, b, node_low AS node FROM cross_cells UNION SELECT a, b, node_high FROM cross_cells), zn AS (SELECT z.*, c.i, c.j, z.a * 100000000 + z.b * 1000000 + z.node AS id FROM zone z JOIN cells c USING (node)),
-  zt AS (SELECT x.id AS u, y.id AS v FROM zn x, steps s, zn y WHERE y.a = x.a AND y.b = x.b AND y.i = x.i + s.di AND y.j = x.j + s.dj),
-  zl(node, root) USING KEY (node) AS (SELECT id, id FROM zn UNION SELECT t.v, min(l.root) FROM zl l JOIN zt t ON t.u = l.node JOIN recurring.zl o ON o.node = t.v WHERE l.root < o.root GROUP BY t.v)
-  SELECT a, b, zn.node, zl.root - a * 100000000 - b * 1000000 AS arc FROM zl JOIN zn ON zn.id = zl.node""")
+@query()
 def boundary_arcs(spark, sf_dir):
     return graph.boundary_components(graph.cut_lineage(_hill_areas(spark, sf_dir))).select("a", "b", "node", "arc")
 

@@ -297,3 +297,29 @@ def test_elements_have_budgets_of_their_own():
     base = spline.sampled(spline.fit(p, 0.0), len(p))
     parts = spline.element_deviations(base, found.curve, base[:, 0] > 0)
     assert all(d <= (0.5 if bend else 1.5) for bend, d in parts) and found.s > 0
+
+
+def test_border_arcs_equal_flooding(spark):
+    z = np.array([[0, 0, 0, 0, 0], [0, 1, 1, 1, 0], [0, 0, 0, 0, 0], [0, 0, 0, 0, 0], [0, 1, 0, 1, 1], [2, 2, 2, 2, 2]])
+    labelled = graph.cut_lineage(graph.height_areas(cells_of(spark, z), 1, 4))
+    area = {(r["i"], r["j"]): r["area_id"] for r in labelled.collect()}
+    zones = {}
+    for (i, j), a in area.items():
+        for di, dj in ((0, 1), (1, 0), (0, -1), (-1, 0)):
+            b = area.get((i + di, j + dj))
+            if b is not None and b != a:
+                zones.setdefault((min(a, b), max(a, b)), set()).add((i, j))
+    expect = set()
+    for (a, b), cells in zones.items():
+        todo = set(cells)
+        while todo:
+            front = [todo.pop()]
+            arc = set(front)
+            while front:
+                i, j = front.pop()
+                near = {(i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)} & todo
+                todo -= near
+                arc |= near
+                front += near
+            expect |= {(a, b, i * 5 + j, min(x * 5 + y for x, y in arc)) for i, j in arc}
+    assert {tuple(r) for r in graph.boundary_components(labelled, 4).select("a", "b", "node", "arc").collect()} == expect
