@@ -64,6 +64,14 @@ def parameter(points: np.ndarray) -> np.ndarray:
     return s / s[-1]
 
 
+def solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a x = b; the shortest of the nearest solutions where a is singular, as it is for points that nearly coincide."""
+    try:
+        return np.linalg.solve(a, b)
+    except np.linalg.LinAlgError:
+        return np.linalg.lstsq(a, b, rcond=None)[0]
+
+
 class Smoother:
     """Splines of one path for any s; what does not hang on s is made once. Repeated points are left out; with fewer than four the degree falls."""
 
@@ -92,11 +100,7 @@ class Smoother:
 
     def _solve(self, inner: np.ndarray) -> Spline:
         knots, b, square, right = self._system(inner)
-        try:
-            c = np.linalg.solve(b, self.points) if b.shape[0] == b.shape[1] else np.linalg.solve(square, right)
-        except np.linalg.LinAlgError:
-            c = np.linalg.lstsq(b, self.points, rcond=None)[0]
-        return self._of(knots, b, c)
+        return self._of(knots, b, solved(b, self.points) if b.shape[0] == b.shape[1] else solved(square, right))
 
     def _next(self) -> Spline | None:
         """One more knot: at the middle point of the stretch with the largest residuals."""
@@ -133,7 +137,7 @@ class Smoother:
         low, high, best = -40.0, 40.0, now
         for _ in range(60):
             mid = (low + high) / 2
-            one = self._of(knots, b, np.linalg.solve(square + 2.0**mid * bent, right))
+            one = self._of(knots, b, solved(square + 2.0**mid * bent, right))
             if one.residual <= s:
                 low, best = mid, one
                 if s - one.residual <= 1e-3 * s:

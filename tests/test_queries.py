@@ -39,7 +39,7 @@ def test_query_equals_its_sql(spark, duck, name):
     assert bag(got.columns, [tuple(r) for r in got.collect()]) == bag(expect.columns, expect.fetchall())
 
 
-@pytest.mark.parametrize("name", [n for n, (_, sql) in REGISTRY.items() if not sql and n != "smooth_before_after"])
+@pytest.mark.parametrize("name", [n for n, (_, sql) in REGISTRY.items() if not sql])
 def test_query_without_sql_gives_rows(spark, name):
     assert REGISTRY[name][0](spark, SF).count() > 0
 
