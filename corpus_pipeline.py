@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from contourflow.llm import decontam, mixing, sharding, simhash, toxicity
-from contourflow.llm.common import shared_path, table
+from contourflow.llm import decontam, mixing, near_copies, sharding, toxicity
+from contourflow.llm.common import materialize, shared_path, table
 from contourflow.llm.queries import SHARDS
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,16 +23,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component, null ids only where no other is; of rows that repeat an id and a fingerprint, one."""
-    docs = docs.select(*COLUMNS)
-    found = simhash.near_duplicates(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id"), F.col("fingerprint").alias("print"))
-    once = kept.groupBy("id").agg(F.count("*").alias("n"), F.count_distinct("print").alias("n_prints"))
+    """The document with the smallest id of each component, null ids only where no other is; of rows that repeat an id and its words, one.
+
+    Components are of all pairs whose sets of five-word shingles have a Jaccard index of 0.8 or more, not of op9's fingerprints.
+    """
+    marked, classes = near_copies.near_copies(docs.select(*COLUMNS))
+    rows = marked.select("doc_id", F.col("_key").alias("key")).join(classes, "key")
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    kept = rows.join(least, "root").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id"), "key")
+    kept = materialize(kept, "kept")
+    once = kept.groupBy("id").agg(F.count("*").alias("n"))
     same_id = F.col("doc_id").eqNullSafe(F.col("id"))
     if once.filter("n > 1").isEmpty():
-        return docs.join(kept, same_id, "left_semi").select(*COLUMNS)
-    marked = docs.withColumn("_print", F.lower(F.lpad(F.hex(simhash.simhash("text")), 16, "0")))
-    return marked.join(kept, same_id & (F.col("_print") == F.col("print")), "left_semi").dropDuplicates(["doc_id", "_print"]).select(*COLUMNS)
+        return marked.join(kept, same_id, "left_semi").select(*COLUMNS)
+    return marked.join(kept, same_id & (F.col("_key") == F.col("key")), "left_semi").dropDuplicates(["doc_id", "_key"]).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
