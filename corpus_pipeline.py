@@ -23,20 +23,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component, null ids only where no other is; of rows that repeat an id and its words, one.
+    """The document with the smallest id of each component, null ids only where no other is; of rows that repeat it, one.
 
     Components are of all pairs whose sets of five-word shingles have a Jaccard index of 0.8 or more, not of op9's fingerprints.
     """
     marked, classes = near_copies.near_copies(docs.select(*COLUMNS))
-    rows = marked.select("doc_id", F.col("_key").alias("key")).join(classes, "key")
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    kept = rows.join(least, "root").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id"), "key")
-    kept = materialize(kept, "kept")
-    once = kept.groupBy("id").agg(F.count("*").alias("n"))
-    same_id = F.col("doc_id").eqNullSafe(F.col("id"))
-    if once.filter("n > 1").isEmpty():
-        return marked.join(kept, same_id, "left_semi").select(*COLUMNS)
-    return marked.join(kept, same_id & (F.col("_key") == F.col("key")), "left_semi").dropDuplicates(["doc_id", "_key"]).select(*COLUMNS)
+    rows = marked.groupBy("doc_id", F.col("_key").alias("key")).agg(F.count("*").alias("n")).join(classes, "key")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "key", "n")).alias("least")
+    kept = materialize(rows.groupBy("root").agg(least).select("least.id", "least.key", "least.n"), "kept")
+    found = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_key") == F.col("key")), "left_semi")
+    if not kept.filter("n > 1").isEmpty():
+        found = found.dropDuplicates(["doc_id", "_key"])
+    return found.select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

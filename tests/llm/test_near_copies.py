@@ -45,3 +45,10 @@ def test_edited_copies_go_and_texts_less_alike_stay(spark):
     for k, (i, _) in enumerate(rows):
         least[root(k)] = min(i, least.get(root(k), i))
     assert [i for i, _ in kept(spark, rows)] == sorted(least.values(), key=str)
+
+
+def test_repeated_and_null_ids_go_by_their_own_texts(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(None, a), (None, b), (5, b), (7, c), (7, d), (6, d), (8, a + " more"), (None, "alone"), (9, c), (9, c)]
+    # 8 stands for a, 5 for b, 7 for c, 6 for d; the null id for its lone text.
+    assert kept(spark, rows) == sorted([(8, a + " more"), (5, b), (7, c), (6, d), (None, "alone")], key=str)
