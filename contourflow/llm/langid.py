@@ -12,12 +12,13 @@ import pandas as pd
 import regex
 import zstandard
 from contourflow.llm.common import broadcast, fold, unit_hash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Documents that a language's dictionary is made of (about), code points taken of each, and bytes of the dictionary at most.
+#: Documents sampled for a language's dictionary (about), code points taken of each, in how many spans, and bytes of the dictionary at most.
 SAMPLE = 200
 SAMPLE_CHARS = 600
+SPANS = 4
 DICTIONARY_BYTES = 48 << 10
 MOST_LANGUAGES = 200
 CHUNK = 2048
@@ -68,8 +69,15 @@ class Model:
         return best, likely, margin, margin < LEAST_MARGIN
 
 
+def _spans(text: Column) -> Column:
+    """SAMPLE_CHARS code points of a text: spans at even distances from its first to its last; a text no longer than that is whole."""
+    each = SAMPLE_CHARS // SPANS
+    begins = [F.floor((F.length(text) - each) * k / (SPANS - 1)).cast("int") + 1 for k in range(SPANS)]
+    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.concat_ws(" ", *[F.substring(text, b, F.lit(each)) for b in begins]))
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_of: int = 5, sample: int = SAMPLE) -> Model:
-    """Dictionaries of about `sample` documents a language, SAMPLE_CHARS code points of each; ids whose crc32 mod held_out_of is 0 are never read.
+    """Dictionaries from about `sample` documents a language, as many as fill one, SAMPLE_CHARS code points of each in spans from all over its letters; ids whose crc32 mod held_out_of is 0 are never read.
 
     Null ids, null languages and texts without a letter are left out. More than MOST_LANGUAGES languages are an error.
     """
@@ -82,8 +90,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return Model({})
     rate = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, sample / n)]), F.col("lang"))
     order = unit_hash(F.col("id"), seed="lang")
-    chosen = known.filter(order < rate).select("lang", order.alias("order"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    chosen = chosen.filter(F.col("text").rlike(r"\p{L}")).orderBy("order", "text").limit(2 * sample * len(counts)).collect()
+    chosen = known.filter(order < rate).filter(F.col("text").rlike(r"\p{L}"))
+    chosen = chosen.select("lang", order.alias("order"), _spans(F.regexp_replace("text", r"[^\p{L}]+", " ")).alias("text")).orderBy("order", "text").limit(2 * sample * len(counts)).collect()
     dictionaries = {}
     for lang in sorted(counts, key=lambda x: (-counts[x], x)):
         content = b" ".join(letters(r["text"]) for r in chosen if r["lang"] == lang)

@@ -1,0 +1,10 @@
+"""What the language dictionaries are made of."""
+
+from contourflow.llm import langid
+
+
+def test_dictionaries_learn_past_a_long_opening(spark):
+    rows = [(k, "1234 " * 200 + "foreign " * 100 + f"middle{'x' * k} " * 200 + "ending " * 100, "en") for k in range(1, 40)]
+    rows += [(k, "5678 " * 200 + "späteres Wort", "de") for k in range(100, 140)]
+    made = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).dictionaries
+    assert b"middlex" in made["en"] and b"ending" in made["en"] and "späteres wort".encode() in made["de"]
