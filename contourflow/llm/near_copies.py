@@ -1,9 +1,13 @@
-"""Near copies by exact likeness: components of all pairs of texts whose shingle sets have a Jaccard index of LEAST or more.
+"""Near copies by likeness: components of all pairs of texts whose sets of five-word shingles have a Jaccard index of LEAST or more.
 
-A prefix-filtered set join: the shingles of all texts are put in one order, and two sets that are alike enough share a shingle among the first
-n - ceil(LEAST n) + 1 of each. Any order gives the same pairs; this one is by hash, with shingles that are common in a sample of
-documents last, so that stock passages deal few texts together. Every pair that meets is compared on its whole sets, so neither a near copy is
-missed nor a clean document linked. Pairs of neighbours are compared first: texts that these already link are not paired again.
+SimHash alone cannot give these links: at a Jaccard index of 0.8 two fingerprints differ in about ten bits of 64, and no choice of blocks
+deals such pairs into small shards. So the SimHash operator's BK-trees (over five-word fingerprints) propose the close pairs, and a prefix-filtered
+search proposes what is left; every proposed pair is compared on its whole sets, so neither a near copy is missed nor a clean document linked.
+
+The shingles of all texts are put in one order, and two sets that are alike enough share a shingle among the first n - ceil(LEAST n) + 1
+of each. Any order gives the same pairs; this one is by hash, with shingles that are common in a sample of documents last, so that stock passages deal few
+texts together. Proposed pairs first meet by parity bitmaps (one bit a shingle), whose differing bits bound the sets' difference from below;
+only pairs that pass bring their sets together. Texts that earlier links join are not paired again.
 """
 
 from __future__ import annotations
@@ -12,39 +16,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
-from contourflow.llm.common import broadcast, materialize, partitions, unit_hash, utf8
-from contourflow.llm.simhash import components
-from pyspark.sql import DataFrame
+from contourflow.llm.common import broadcast, delete_path, materialize, partitions, shared_path, unit_hash, utf8
+from contourflow.llm.simhash import components, fingerprint_of, link_edges, shingle_hashes
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHINGLE_WORDS = 5
 #: Least Jaccard index of a link, as a fraction.
 LEAST = (4, 5)
-#: Documents of the sample that common shingles are looked for in (about), documents of it a common one is in, and common ones at most. They order, and drop nothing.
-SAMPLE = 20_000
+#: Documents of the sample that common shingles are looked for in (this many or one of so many, whichever is more), documents of it a common one is in,
+#: and common ones at most. They order, and drop nothing.
+SAMPLE, SAMPLE_ONE_OF = 20_000, 16
 COMMON_FROM = 4
 MOST_COMMON = 500_000
 #: Places of a prefix whose neighbours are compared first.
 FIRST_PLACES = 3
 PAIRS_AT_ONCE = 200_000
+#: Rows up to which a table of keys is broadcast; beyond, the texts are shuffled.
+BROADCAST_KEYS = 1 << 20
+
 
+def key_of(text: str) -> Column:
+    """A hash of the text; one value for all texts without words, null among them."""
+    return F.when(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
 
-def shingles(data: bytes, width: int = SHINGLE_WORDS) -> tuple[int, np.ndarray]:
-    """A signed hash of the lower-cased words, and the sorted distinct hashes of their shingles; fewer words than a shingle's are one shingle, none have none."""
-    words = data.lower().split()
-    joined = b" ".join(words)
-    key = int(np.uint64(xxhash.xxh64_intdigest(joined)).astype(np.int64))
-    if not words:
-        return key, np.zeros(0, dtype=np.int64)
-    if len(words) <= width:
-        return key, np.array([xxhash.xxh64_intdigest(joined, 1)], dtype=np.uint64).view(np.int64)
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    ends = np.cumsum(lengths) + np.arange(len(words))
-    starts = (ends - lengths)[: len(words) - width + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], 1) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)), dtype=np.uint64, count=len(starts))
-    return key, np.unique(hashes.view(np.int64))
+
+def shingle_set(data: bytes) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    return np.unique(shingle_hashes(data, SHINGLE_WORDS)).view(np.int64)
 
 
 def prefix(found: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -56,17 +55,40 @@ def prefix(found: np.ndarray, common: np.ndarray) -> np.ndarray:
     return found[: n - -(-LEAST[0] * n // LEAST[1]) + 1]
 
 
+def bitmap(found: np.ndarray) -> bytes:
+    """Parities of the numbers of shingles by the low bits of their hashes, a power of two of them and no fewer than shingles."""
+    size = max(64, 1 << (max(1, len(found)) - 1).bit_length())
+    odd = np.bincount(found & (size - 1), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_alike(m: int, p: bytes, n: int, q: bytes) -> bool:
+    """Whether sets of m and n shingles with these bitmaps can have a Jaccard index of LEAST; halves of a bitmap add up to a smaller one."""
+    a, b = LEAST
+    if b * min(m, n) < a * max(m, n):
+        return False
+    x, y, i, j = int.from_bytes(p, "little"), int.from_bytes(q, "little"), 8 * len(p), 8 * len(q)
+    while i > j:
+        i //= 2
+        x = (x >> i) ^ (x & ((1 << i) - 1))
+    while j > i:
+        j //= 2
+        y = (y >> j) ^ (y & ((1 << j) - 1))
+    return (a + b) * (x ^ y).bit_count() <= (b - a) * (m + n)
+
+
 def _common(docs: DataFrame) -> np.ndarray:
-    """Shingles of several documents of the sample, sorted."""
-    n = docs.count()
+    """Shingles of several documents of the sample, sorted. docs: (key, data)."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for data in pdf["data"]:
-                yield pd.DataFrame({"shingle": shingles(data)[1]})
+                yield pd.DataFrame({"shingle": shingle_set(data)})
 
-    picked = docs if n <= SAMPLE else docs.filter(unit_hash(F.col("data"), seed="common") < SAMPLE / n)
-    seen = picked.select("data").distinct().mapInPandas(of, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON_FROM)
+    n = docs.count()
+    share = max(SAMPLE / max(1, n), 1 / SAMPLE_ONE_OF)
+    picked = docs.filter(unit_hash(F.col("key"), seed="common") < share).dropDuplicates(["key"]).select("data")
+    seen = picked.mapInPandas(of, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON_FROM)
     rows = seen.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).select("shingle").toArrow()
     return np.sort(np.asarray(rows["shingle"], dtype=np.int64))
 
@@ -83,13 +105,17 @@ def _pairs(places: DataFrame, neighbours: bool) -> DataFrame:
             yield key[1:], key[:-1]
             yield key[2:], np.full(max(0, len(key) - 2), key[0])
             return
-        if (group == group[0]).all():
+        names, of, members = np.unique(group, return_inverse=True, return_counts=True)
+        if len(names) == 1:
             return
-        rest, last = n - pos, np.searchsorted(n * a, n * b, side="right")
-        for i in range(len(n) - 1):
-            j = slice(i + 1, last[i])
+        rest, first, last = n - pos, np.searchsorted(n * b, n * a), np.searchsorted(n * a, n * b, side="right")
+        largest = of == members.argmax()
+        # Texts of the largest group are partners only: two of them are of one group.
+        for i in np.flatnonzero(~largest).tolist():
+            j = slice(first[i], last[i])
+            later = np.arange(first[i], last[i]) > i
             # Shared are this shingle and at most those that follow it in both orders.
-            good = (group[j] != group[i]) & ((a + b) * np.minimum(rest[i], rest[j]) >= a * (n[i] + n[j]))
+            good = (of[j] != of[i]) & (later | largest[j]) & ((a + b) * np.minimum(rest[i], rest[j]) >= a * (n[i] + n[j]))
             found = key[j][good]
             if len(found):
                 yield found, np.full(len(found), key[i])
@@ -130,56 +156,85 @@ def _pairs(places: DataFrame, neighbours: bool) -> DataFrame:
     return ordered.mapInPandas(run, "u long, v long").distinct()
 
 
-def _linked(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose whole sets are alike enough. texts: (key, data)."""
-    pairs = materialize(pairs, "pairs")
-    nodes = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
+def with_keys(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Join of docs (with a column _key) and a table of one row a key (_key): broadcast where that is small, else the docs are shuffled."""
+    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "_key", how)
+
+
+def _linked(docs: DataFrame, marks: DataFrame, pairs: DataFrame, made: list[str]) -> DataFrame:
+    """The pairs whose whole sets are alike enough. docs: (_key, data); marks: (key, n, bits)."""
+    names = {x: [F.col("key").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits")] for x in "uv"}
+
+    def possible(m: pd.Series, p: pd.Series, n: pd.Series, q: pd.Series) -> pd.Series:
+        return pd.Series([may_be_alike(*x) for x in zip(m.tolist(), p, n.tolist(), q, strict=True)], dtype="bool")
+
+    near = pairs.join(marks.select(names["u"]), "u").join(marks.select(names["v"]), "v")
+    near = _kept(near.filter(F.pandas_udf(possible, "boolean")("u_n", "u_bits", "v_n", "v_bits")).select("u", "v"), "pairs", made)
+    nodes = _kept(near.select(F.col("u").alias("_key")).union(near.select("v")).distinct(), "nodes", made)
 
     def whole(batch: pd.Series) -> pd.Series:
-        return pd.Series([shingles(x)[1].tobytes() for x in batch])
+        return pd.Series([shingle_set(x).tobytes() for x in batch])
 
-    one = texts.join(nodes, "key", "left_semi").groupBy("key").agg(F.min("data").alias("data"))
-    sets = materialize(one.select("key", F.pandas_udf(whole, "binary")("data").alias("s")), "sets")
+    one = with_keys(docs, nodes, "left_semi").select("_key", F.pandas_udf(whole, "binary")("data").alias("s"))
+    sets = _kept(one.groupBy("_key").agg(F.any_value("s").alias("s")), "sets", made)
 
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
         def of(p: bytes, q: bytes) -> bool:
             m, n = len(p) // 8, len(q) // 8
-            if LEAST[1] * min(m, n) < LEAST[0] * max(m, n):
-                return False
             both = len(np.intersect1d(np.frombuffer(p, dtype=np.int64), np.frombuffer(q, dtype=np.int64), assume_unique=True))
             return LEAST[1] * both >= LEAST[0] * (m + n - both)
 
         return pd.Series([of(p, q) for p, q in zip(x, y, strict=True)], dtype="bool")
 
-    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("s").alias("x")), "u").join(sets.select(F.col("key").alias("v"), F.col("s").alias("y")), "v")
+    both = near.join(sets.select(F.col("_key").alias("u"), F.col("s").alias("x")), "u").join(sets.select(F.col("_key").alias("v"), F.col("s").alias("y")), "v")
     return materialize(both.filter(F.pandas_udf(alike, "boolean")("x", "y")).select("u", "v"), "links")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(docs with _key, a hash of the lower-cased words; one row a key: key, root), root naming the key's component of links.
+def _kept(df: DataFrame, label: str, made: list[str]) -> DataFrame:
+    """materialize(), with the path noted so that it can be deleted as soon as it has been used."""
+    path = shared_path(df.sparkSession, label)
+    made.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def near_copies(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(docs with _key, a hash of the text; (key, root) of each key in a component of two or more).
 
-    Texts without words, null among them, are alike. Repeated rows all stay.
+    Keys without a link are not listed. Texts without words, null among them, have one key. Texts that differ in letter case or white space alone are alike.
+    Repeated rows all stay. A column _key of docs is replaced.
     """
-    common = broadcast(docs.sparkSession, _common(docs.select(utf8(text_col).alias("data"))))
+    spark, made = docs.sparkSession, []
+    marked = docs.withColumn("_key", key_of(text_col))
+    texts = marked.select("_key", utf8(text_col).alias("data"))
+    common = broadcast(spark, _common(texts.withColumnRenamed("_key", "key")))
 
     def of(batch: pd.Series) -> pd.DataFrame:
         rows = []
         for data in batch:
-            key, found = shingles(data)
-            rows.append((key, len(found), prefix(found, common())))
-        return pd.DataFrame(rows, columns=["key", "n", "prefix"])
-
-    made = F.pandas_udf(of, "key long, n long, prefix array<long>")(utf8(text_col))
-    marked = docs.withColumn("_made", made).select(*docs.columns, F.col("_made.key").alias("_key"), F.col("_made.n").alias("_n"), F.col("_made.prefix").alias("_prefix"))
-    marked = materialize(marked, "marked")
-    classes = materialize(marked.groupBy(F.col("_key").alias("key")).agg(F.any_value("_n").alias("n"), F.any_value("_prefix").alias("prefix")), "classes")
-    texts = marked.select(F.col("_key").alias("key"), utf8(text_col).alias("data"))
-
-    places = classes.select("key", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    near = _linked(texts, _pairs(places.filter(F.col("pos") < FIRST_PLACES).withColumn("group", F.col("key")), neighbours=True))
+            hashes = shingle_hashes(data, SHINGLE_WORDS)
+            found = np.unique(hashes).view(np.int64)
+            rows.append((len(found), fingerprint_of(hashes), bitmap(found), prefix(found, common())))
+        return pd.DataFrame(rows, columns=["n", "fp", "bits", "prefix"])
+
+    features = F.pandas_udf(of, "n long, fp long, bits binary, prefix array<long>")("data")
+    classes = texts.filter("_key <> 0").select(F.col("_key").alias("key"), features.alias("f")).groupBy("key").agg(F.any_value("f").alias("f"))
+    classes = _kept(classes.select("key", "f.*"), "classes", made)
+    marks = classes.select("key", "n", "bits")
+
+    firsts = _kept(classes.groupBy("fp").agg(F.min("key").alias("first")), "prints", made)
+    prints = classes.select("key", "fp").join(firsts, "fp")
+    firsts = firsts.withColumnRenamed("first", "key")
+    close = link_edges(firsts.select("fp")).join(firsts.select(F.col("fp").alias("u"), F.col("key").alias("ku")), "u").join(firsts.select(F.col("fp").alias("v"), F.col("key").alias("kv")), "v")
+    close = close.select(F.greatest("ku", "kv").alias("u"), F.least("ku", "kv").alias("v")).unionByName(prints.filter("key <> first").select(F.col("key").alias("u"), F.col("first").alias("v")))
+
+    places = lambda c: c.select("key", "n", "group", F.posexplode("prefix").alias("pos", "shingle"))
+    first = places(classes.withColumn("group", F.col("key")).withColumn("prefix", F.slice("prefix", 1, FIRST_PLACES)))
+    near = _linked(texts, marks, close.unionByName(_pairs(first, neighbours=True)).distinct(), made)
     groups = components(near)
     grouped = classes.join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "n", F.coalesce("root", "key").alias("group"), "prefix")
-    rest = _linked(texts, _pairs(grouped.select("key", "n", "group", F.posexplode("prefix").alias("pos", "shingle")), neighbours=False))
-    roots = components(near.unionByName(rest)).withColumnRenamed("node", "key")
-    named = classes.select("key").join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"))
-    return marked.drop("_n", "_prefix"), materialize(named, "named")
+    rest = _linked(texts, marks, _pairs(places(grouped), neighbours=False), made)
+    roots = materialize(components(near.unionByName(rest)).select(F.col("node").alias("key"), "root"), "near-roots")
+    for path in made:
+        delete_path(spark, path)
+    return marked, roots

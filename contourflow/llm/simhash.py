@@ -31,31 +31,34 @@ LARGEST_TREE = 512
 MOST_BLOCKS = 8
 
 
-def simhash_bytes(data: bytes, width: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """Fingerprint of a UTF-8 text as a signed 64-bit number; 0 without words.
-
-    Shingles count as often as they occur; a text of fewer words than a shingle's is one shingle. A bit is set if it
-    is set in more than half of the shingles' hashes.
-    """
+def shingle_hashes(data: bytes, width: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle of a UTF-8 text, repeats included; a text of fewer words than a shingle's is one shingle, one without words has none."""
     words = data.lower().split()
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     if n <= width:
-        hashes = [xxhash.xxh64_intdigest(joined, seed)]
-    else:
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=n)
-        ends = np.cumsum(lengths) + np.arange(n)
-        starts = (ends - lengths)[: n - width + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)]
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], dtype=np.uint64)
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=n)
+    ends = np.cumsum(lengths) + np.arange(n)
+    starts = (ends - lengths)[: n - width + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)), dtype=np.uint64, count=len(starts))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """SimHash as a signed 64-bit number: a bit is set if it is set in more than half of the hashes; 0 without any."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 18):
-        part = np.array(hashes[at : at + (1 << 18)], dtype="<u8")
+        part = hashes[at : at + (1 << 18)].astype("<u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(hashes), bitorder="little")
-    return int(bits.view("<i8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def simhash_bytes(data: bytes, width: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+    """Fingerprint of a UTF-8 text; shingles count as often as they occur."""
+    return fingerprint_of(shingle_hashes(data, width, seed))
 
 
 def simhash(text: Column | str, width: int = SHINGLE_WORDS, seed: int = SEED) -> Column:
