@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 SHINGLE_WORDS = 5
 #: Least Jaccard index of a link, as a fraction.
 LEAST = (4, 5)
-#: Documents of the sample that common shingles are looked for in (this many or one of so many, whichever is more), documents of it a common one is in,
-#: and common ones at most. They order, and drop nothing.
-SAMPLE, SAMPLE_ONE_OF = 20_000, 16
-COMMON_FROM = 4
-MOST_COMMON = 500_000
-#: Places of a prefix whose neighbours are compared first.
-FIRST_PLACES = 3
+#: One document of so many is looked at for common shingles, a common one is in so many of these, and there are so many at most. They order, and drop nothing.
+SAMPLE_ONE_OF = 8
+COMMON_FROM = 3
+MOST_COMMON = 1 << 21
+#: Places at a prefix's end, where shingles are the least rare, in which each text meets some others first, and how many of them: next to it and in the place's largest group.
+LAST_PLACES = 4
+NEXT, IN_LARGEST = 4, 16
 PAIRS_AT_ONCE = 200_000
 #: Rows up to which a table of keys is broadcast; beyond, the texts are shuffled.
 BROADCAST_KEYS = 1 << 20
@@ -46,18 +46,19 @@ def shingle_set(data: bytes) -> np.ndarray:
     return np.unique(shingle_hashes(data, SHINGLE_WORDS)).view(np.int64)
 
 
-def prefix(found: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The shingles of which two sets alike enough share one: those that are not common first, each part by hash."""
-    n = len(found)
+def prefix(found: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
+    """The shingles of which two sets alike enough share one: those that are not common first, each part by hash; and how many are not common."""
+    n = rare = len(found)
     if n and len(common):
         is_common = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
         found = np.concatenate([found[~is_common], found[is_common]])
-    return found[: n - -(-LEAST[0] * n // LEAST[1]) + 1]
+        rare -= int(is_common.sum())
+    return found[: n - -(-LEAST[0] * n // LEAST[1]) + 1], rare
 
 
 def bitmap(found: np.ndarray) -> bytes:
-    """Parities of the numbers of shingles by the low bits of their hashes, a power of two of them and no fewer than shingles."""
-    size = max(64, 1 << (max(1, len(found)) - 1).bit_length())
+    """Parities of the numbers of shingles by the low bits of their hashes: a power of two of them, four a shingle at least."""
+    size = max(64, 1 << (4 * max(1, len(found)) - 1).bit_length())
     odd = np.bincount(found & (size - 1), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -85,43 +86,49 @@ def _common(docs: DataFrame) -> np.ndarray:
             for data in pdf["data"]:
                 yield pd.DataFrame({"shingle": shingle_set(data)})
 
-    n = docs.count()
-    share = max(SAMPLE / max(1, n), 1 / SAMPLE_ONE_OF)
-    picked = docs.filter(unit_hash(F.col("key"), seed="common") < share).dropDuplicates(["key"]).select("data")
+    picked = docs.filter(unit_hash(F.col("key"), seed="common") < 1 / SAMPLE_ONE_OF).dropDuplicates(["key"]).select("data")
     seen = picked.mapInPandas(of, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON_FROM)
     rows = seen.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).select("shingle").toArrow()
     return np.sort(np.asarray(rows["shingle"], dtype=np.int64))
 
 
-def _pairs(places: DataFrame, neighbours: bool) -> DataFrame:
-    """Distinct pairs (u, v) of texts that share a shingle of their prefixes and may be alike. places: (shingle, key, n, pos, group).
+def _pairs(places: DataFrame, some: bool) -> DataFrame:
+    """Distinct pairs (u, v) of texts of different groups that share a shingle of their prefixes and may be alike. places: (shingle, key, n, pos, group, bits).
 
-    neighbours: only each text with the one before it and with the first; else all pairs of different groups.
+    bits: the text's bitmap where the shingle is a common one, so that many texts meet, else null.
+    some: each text with the next NEXT in order of size, and with IN_LARGEST of the place's largest group if it is not in that; else all such pairs.
     """
     a, b = LEAST
 
-    def within(n: np.ndarray, pos: np.ndarray, key: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if neighbours:
-            yield key[1:], key[:-1]
-            yield key[2:], np.full(max(0, len(key) - 2), key[0])
-            return
+    def within(n: np.ndarray, pos: np.ndarray, key: np.ndarray, group: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         names, of, members = np.unique(group, return_inverse=True, return_counts=True)
         if len(names) == 1:
             return
-        rest, first, last = n - pos, np.searchsorted(n * b, n * a), np.searchsorted(n * a, n * b, side="right")
         largest = of == members.argmax()
-        # Texts of the largest group are partners only: two of them are of one group.
+        at = np.flatnonzero(largest)
+        if some:
+            for step in range(1, NEXT + 1):
+                other = of[step:] != of[:-step]
+                yield key[step:][other], key[:-step][other]
+        # Partners by size, and the text's own place among them.
+        rest, first, last = n - pos, np.searchsorted(n * b, n * a), np.searchsorted(n * a, n * b, side="right")
         for i in np.flatnonzero(~largest).tolist():
-            j = slice(first[i], last[i])
-            later = np.arange(first[i], last[i]) > i
-            # Shared are this shingle and at most those that follow it in both orders.
-            good = (of[j] != of[i]) & (later | largest[j]) & ((a + b) * np.minimum(rest[i], rest[j]) >= a * (n[i] + n[j]))
-            found = key[j][good]
+            if some:
+                near = at[np.searchsorted(at, first[i]) : np.searchsorted(at, last[i])]
+                found = key[near[np.unique(np.linspace(0, len(near) - 1, IN_LARGEST).astype(np.int64))]] if len(near) else near
+            else:
+                # Shared are this shingle and at most those that follow it in both orders. Two texts of the largest group are of one group, so its texts are partners only.
+                j = np.arange(first[i], last[i])
+                good = (of[j] != of[i]) & ((j > i) | largest[j]) & ((a + b) * np.minimum(rest[i], rest[j]) >= a * (n[i] + n[j]))
+                j = j[good]
+                if bits[i] is not None:
+                    j = j[[bits[x] is None or may_be_alike(int(n[i]), bits[i], int(n[x]), bits[x]) for x in j.tolist()]] if len(j) else j
+                found = key[j]
             if len(found):
                 yield found, np.full(len(found), key[i])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, held, out, size = ["shingle", "n", "pos", "key", "group"], None, [], 0
+        names, held, out, size = ["shingle", "n", "pos", "key", "group", "bits"], None, [], 0
 
         def made() -> pd.DataFrame:
             u, v = (np.concatenate([x[k] for x in out]) for k in (0, 1))
@@ -214,10 +221,10 @@ def near_copies(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Dat
         for data in batch:
             hashes = shingle_hashes(data, SHINGLE_WORDS)
             found = np.unique(hashes).view(np.int64)
-            rows.append((len(found), fingerprint_of(hashes), bitmap(found), prefix(found, common())))
-        return pd.DataFrame(rows, columns=["n", "fp", "bits", "prefix"])
+            rows.append((len(found), fingerprint_of(hashes), bitmap(found), *prefix(found, common())))
+        return pd.DataFrame(rows, columns=["n", "fp", "bits", "prefix", "rare"])
 
-    features = F.pandas_udf(of, "n long, fp long, bits binary, prefix array<long>")("data")
+    features = F.pandas_udf(of, "n long, fp long, bits binary, prefix array<long>, rare long")("data")
     classes = texts.filter("_key <> 0").select(F.col("_key").alias("key"), features.alias("f")).groupBy("key").agg(F.any_value("f").alias("f"))
     classes = _kept(classes.select("key", "f.*"), "classes", made)
     marks = classes.select("key", "n", "bits")
@@ -228,13 +235,17 @@ def near_copies(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Dat
     close = link_edges(firsts.select("fp")).join(firsts.select(F.col("fp").alias("u"), F.col("key").alias("ku")), "u").join(firsts.select(F.col("fp").alias("v"), F.col("key").alias("kv")), "v")
     close = close.select(F.greatest("ku", "kv").alias("u"), F.least("ku", "kv").alias("v")).unionByName(prints.filter("key <> first").select(F.col("key").alias("u"), F.col("first").alias("v")))
 
-    places = lambda c: c.select("key", "n", "group", F.posexplode("prefix").alias("pos", "shingle"))
-    first = places(classes.withColumn("group", F.col("key")).withColumn("prefix", F.slice("prefix", 1, FIRST_PLACES)))
-    near = _linked(texts, marks, close.unionByName(_pairs(first, neighbours=True)).distinct(), made)
-    groups = components(near)
-    grouped = classes.join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "n", F.coalesce("root", "key").alias("group"), "prefix")
-    rest = _linked(texts, marks, _pairs(places(grouped), neighbours=False), made)
-    roots = materialize(components(near.unionByName(rest)).select(F.col("node").alias("key"), "root"), "near-roots")
+    links, groups = None, classes.select("key", F.col("key").alias("group"))
+    for some, proposed in ((True, close), (True, None), (False, None)):
+        shown = F.slice("prefix", F.greatest(F.lit(1), F.size("prefix") - LAST_PLACES + 1), LAST_PLACES) if some else F.col("prefix")
+        bits = F.lit(None).cast("binary") if some else F.when(F.col("pos") >= F.col("rare"), F.col("bits"))
+        places = classes.join(groups, "key").select("key", "n", "group", "bits", "rare", F.posexplode(shown).alias("pos", "shingle"))
+        pairs = _pairs(places.select("shingle", "key", "n", "pos", "group", bits.alias("bits")), some)
+        found = _linked(texts, marks, pairs if proposed is None else pairs.unionByName(proposed).distinct(), made)
+        links = found if links is None else links.unionByName(found)
+        roots = components(links).withColumnRenamed("node", "key")
+        groups = classes.select("key").join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("group"))
+    roots = materialize(roots, "near-roots")
     for path in made:
         delete_path(spark, path)
     return marked, roots
