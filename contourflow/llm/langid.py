@@ -1,26 +1,27 @@
 """Language by compression: the language whose dictionary lets zstandard make the text smallest.
 
-Each language has a raw-content dictionary of texts in it. A text is cut into chunks, each compressed with every dictionary; the language with the
+Each language has a raw-content dictionary of the words that are most frequent in a sample of documents in it, taken from their whole texts, the most
+frequent last. A text is cut into chunks, each compressed with every dictionary; the language with the
 smallest sum of sizes is predicted, and a narrow margin to the second marks the prediction as rejected.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 import regex
 import zstandard
-from contourflow.llm.common import broadcast, fold, unit_hash
-from pyspark.sql import Column, DataFrame
+from contourflow.llm.common import broadcast, fold, free_name, unit_hash
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Documents sampled for a language's dictionary (about), code points taken of each, in how many spans, and bytes of the dictionary at most.
-SAMPLE = 200
-SAMPLE_CHARS = 600
-SPANS = 4
+#: Documents sampled for a language's dictionary (about), bytes of the dictionary at most, and bytes of all of them.
+SAMPLE = 400
 DICTIONARY_BYTES = 48 << 10
-MOST_LANGUAGES = 200
+ALL_BYTES = 64 << 20
 CHUNK = 2048
 LEAST_MARGIN = 0.01
 #: Short matches tell languages apart, so the search is a thorough one for matches from three bytes on.
@@ -69,43 +70,52 @@ class Model:
         return best, likely, margin, margin < LEAST_MARGIN
 
 
-def _spans(text: Column) -> Column:
-    """SAMPLE_CHARS code points of a text: spans at even distances from its first to its last; a text no longer than that is whole."""
-    each = SAMPLE_CHARS // SPANS
-    begins = [F.floor((F.length(text) - each) * k / (SPANS - 1)).cast("int") + 1 for k in range(SPANS)]
-    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.concat_ws(" ", *[F.substring(text, b, F.lit(each)) for b in begins]))
-
-
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_of: int = 5, sample: int = SAMPLE) -> Model:
-    """Dictionaries from about `sample` documents a language, as many as fill one, SAMPLE_CHARS code points of each in spans from all over its letters; ids whose crc32 mod held_out_of is 0 are never read.
+    """Dictionaries from the whole texts of about `sample` documents a language; ids whose crc32 mod held_out_of is 0 are never read.
 
-    Null ids, null languages and texts without a letter are left out. More than MOST_LANGUAGES languages are an error.
+    Null ids, null languages and texts without a letter are left out. Rows that repeat an id are sampled together, and each counts. Words of equal frequency go
+    by their bytes. A language without a sampled word has a blank dictionary. Any number of languages is allowed: beyond ALL_BYTES in all, each dictionary is smaller.
+    An empty table gives a model without languages, which predicts `und`.
     """
-    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = known.filter(F.col("lang").isNotNull() & F.col("id").isNotNull()).filter(fold(F.col("id"), held_out_of) != 0)
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not counts:
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    of = {r["lang"]: r["n"] for r in counts.collect()}
+    if not of:
         return Model({})
-    rate = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, sample / n)]), F.col("lang"))
-    order = unit_hash(F.col("id"), seed="lang")
-    chosen = known.filter(order < rate).filter(F.col("text").rlike(r"\p{L}"))
-    chosen = chosen.select("lang", order.alias("order"), _spans(F.regexp_replace("text", r"[^\p{L}]+", " ")).alias("text")).orderBy("order", "text").limit(2 * sample * len(counts)).collect()
-    dictionaries = {}
-    for lang in sorted(counts, key=lambda x: (-counts[x], x)):
-        content = b" ".join(letters(r["text"]) for r in chosen if r["lang"] == lang)
-        dictionaries[lang] = content[:DICTIONARY_BYTES] or b" " * 8
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, Counter] = {}
+        for pdf in batches:
+            for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
+                seen.setdefault(lang, Counter()).update(letters(text).split())
+        for lang, words in seen.items():
+            yield pd.DataFrame({"lang": lang, "word": list(words), "n": list(words.values())}).astype({"n": "int64"})
+
+    each = max(256, min(DICTIONARY_BYTES, ALL_BYTES // len(of)))
+    chosen = known.join(counts, "lang").filter(unit_hash(F.col("id"), seed="lang") < F.lit(float(sample)) / F.col("n")).filter(F.col("text").isNotNull()).select("lang", "text")
+    words = chosen.mapInPandas(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    upto = F.sum(F.octet_length("word") + 1).over(W.partitionBy("lang").orderBy(F.desc("n"), "word").rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = words.withColumn("upto", upto).filter(F.col("upto") <= each).select("lang", "word", "upto").collect()
+    listed: dict[str, list[tuple[int, bytes]]] = {lang: [] for lang in of}
+    for r in rows:
+        listed[r["lang"]].append((-r["upto"], bytes(r["word"])))
+    dictionaries = {lang: b" ".join(w for _, w in sorted(listed[lang])) or b" " * 8 for lang in sorted(of, key=lambda x: (-of[x], x))}
     return Model(dictionaries)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score, margin and rejected. Texts that are null or have no letter are `und` with score 0, and rejected."""
+    """docs with lang_pred, score, margin and rejected; columns of these names are replaced, all others stay.
+
+    Texts that are null or have no letter are `und` with score 0, and rejected. Of languages with equal sizes the one with more training documents wins, then the first by name.
+    Repeated rows all stay, with equal results; a very long text is compressed chunk by chunk.
+    """
     shared = broadcast(docs.sparkSession, model)
 
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame([shared().predict(t) for t in batch], columns=["lang_pred", "score", "margin", "rejected"]).astype({"rejected": "bool"})
 
-    found = F.pandas_udf(of, "lang_pred string, score double, margin double, rejected boolean")
-    return docs.withColumn("_found", found(F.col(text_col))).select(*[F.col(c) for c in docs.columns], "_found.*")
+    found, into = F.pandas_udf(of, "lang_pred string, score double, margin double, rejected boolean"), free_name(docs, "_language")
+    made = docs.withColumn(into, found(F.col(text_col)))
+    return made.withColumns({c: F.col(into)[c] for c in ("lang_pred", "score", "margin", "rejected")}).drop(into)
