@@ -1,6 +1,6 @@
 """A deterministic sharded WARC writer, and the reader of what it wrote.
 
-Records are dealt into shards by ranges of the page id (boundaries from a sample that hangs on the ids alone) and sorted within;
+Records are dealt into shards by ranges of the page id with about equal bytes (boundaries from a sample of ids chosen by their hashes) and sorted within, a task a shard;
 a shard's file rolls when its compressed size reaches the limit. Headers, record ids and digests are made anew from the
 payload, so reruns write equal bytes. A task writes under a temporary name and renames; a rerun of a lost task replaces a
 file by its equal. The manifest, written last, names the files of the tasks that succeeded; readers open no others.
@@ -26,6 +26,8 @@ ROLL_BYTES = 64 << 20
 SHARD_BYTES = 256 << 20
 LEVEL = 5
 DATE = "2020-01-01T00:00:00Z"
+#: Bytes of a record besides its payload, about.
+RECORD_BYTES = 700
 #: Page ids that the shard boundaries are drawn from, about.
 BOUNDARY_SAMPLE = 20_000
 #: Payloads that occur more than once, up to which their table is broadcast; more are joined by shuffle.
@@ -114,7 +116,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 
     Of rows with equal payloads of at least least_revisit bytes, those with the smallest id are responses and the others revisits to it;
     smaller payloads, and groups whose ids are all null, are responses. A null payload is empty, a null url leaves its header out. Repeated rows of the
-    smallest id are all responses. An empty table writes no file and an empty manifest.
+    smallest id are all responses. A very long payload is one record, in memory once; rows of one id share a shard. An empty table writes no file and an empty manifest.
     """
     spark = pages.sparkSession
     where, path = _fs(folder)
@@ -134,16 +136,19 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 
     n_shards = max(2 * partitions(spark), -(-total // shard_bytes))
     share = min(1.0, BOUNDARY_SAMPLE / max(1, n_rows))
-    ids = pages.select(F.col(id_col).cast("long").alias("id")).filter("id IS NOT NULL")
-    drawn = np.sort(np.array([r["id"] for r in ids.filter(unit_hash(F.col("id"), seed="warc") < share).limit(4 * BOUNDARY_SAMPLE).collect()], dtype=np.int64))
-    cuts = np.unique(drawn[np.arange(1, n_shards) * len(drawn) // n_shards]) if len(drawn) else drawn
+    drawn = rows.filter(F.col("id").isNotNull() & (unit_hash(F.col("id"), seed="warc") < share)).groupBy("id").agg(F.sum(F.when(F.col("revisit"), 0).otherwise(F.col("n")) + RECORD_BYTES).alias("n"))
+    drawn = sorted((r["id"], r["n"]) for r in drawn.collect())
+    upto = np.cumsum([n for _, n in drawn], dtype=np.int64)
+    at = np.searchsorted(upto, upto[-1] * np.arange(1, n_shards) // n_shards) if drawn else []
+    cuts = np.unique(np.array([drawn[k][0] for k in at], dtype=np.int64))
 
     @F.pandas_udf("int")
     def shard_of(batch: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(cuts, batch.to_numpy(dtype=np.int64), side="right"), dtype="int32")
 
     rows = rows.withColumn("shard", shard_of(F.coalesce("id", F.lit(-(1 << 63)).cast("long"))))
-    ordered = rows.select("shard", "id", "url", "payload", "first", "revisit", "sha1").repartition(partitions(spark), "shard").sortWithinPartitions("shard", "id", "sha1", "url")
+    # A task a shard: what a task reads hangs on shard_bytes, not on the input.
+    ordered = rows.select("shard", "id", "url", "payload", "first", "revisit", "sha1").repartitionById(len(cuts) + 1, "shard").sortWithinPartitions("shard", "id", "sha1", "url")
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now: _Roller | None = None
