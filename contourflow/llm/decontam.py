@@ -14,7 +14,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from contourflow.llm.common import broadcast, materialize, utf8
+from contourflow.llm.common import broadcast, free_name, materialize, utf8
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,8 +89,8 @@ def _frequency(texts: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
     return {bytes(r["word"]): r["n"] for r in total.collect()}
 
 
-def _scan(docs: DataFrame, items: list[tuple[str, bytes]], text: str, width: int) -> DataFrame:
-    """docs with _found: struct of n_words, spans (begin, end, begin, ...) and item ids, for the items of one block."""
+def _scan(docs: DataFrame, items: list[tuple[str, bytes]], text: str, width: int, into: str) -> DataFrame:
+    """docs with a column `into`: struct of n_words, spans (begin, end, begin, ...) and item ids, for the items of one block."""
     windows = item_windows(items, width)
     index = prefix_index(windows, _frequency(docs.select(utf8(text).alias("data")), {w for window in windows for w in window})) if windows else {}
     shared = broadcast(docs.sparkSession, index)
@@ -104,7 +104,7 @@ def _scan(docs: DataFrame, items: list[tuple[str, bytes]], text: str, width: int
                 rows.append((len(words), [x for span in spans for x in span], ids))
             yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
 
-    return docs.withColumn("_found", F.pandas_udf(scan, "n_words long, spans array<int>, items array<string>")(utf8(text)))
+    return docs.withColumn(into, F.pandas_udf(scan, "n_words long, spans array<int>, items array<string>")(utf8(text)))
 
 
 def _union_of(lists: list) -> list[int]:
@@ -117,10 +117,11 @@ def _union_of(lists: list) -> list[int]:
     return [x for s in spans for x in s]
 
 
-def _scan_blocks(docs: DataFrame, blocks: list[DataFrame], text: str, width: int) -> DataFrame:
-    """docs with _found over several blocks: each is a pass of its own, whose hits meet by the text's hashes."""
-    docs = docs.withColumn("_key", F.sha2(utf8(text), 256))
-    parts = [_scan(docs.select("_key", text), [(r["item"], bytes(r["data"])) for r in block.collect()], text, width).select("_key", "_found").filter("size(_found.items) > 0") for block in blocks]
+def _scan_blocks(docs: DataFrame, blocks: list[DataFrame], text: str, width: int, into: str) -> DataFrame:
+    """docs with a column `into` over several blocks: each is a pass of its own, whose hits meet by the text's hashes."""
+    key, hit = free_name(docs, "_key"), free_name(docs, "_hit")
+    docs = docs.withColumn(key, F.sha2(utf8(text), 256))
+    parts = [_scan(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), [(r["item"], bytes(r["data"])) for r in block.collect()], "text", width, "found").select("key", "found").filter("size(found.items) > 0") for block in blocks]
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
@@ -129,14 +130,14 @@ def _scan_blocks(docs: DataFrame, blocks: list[DataFrame], text: str, width: int
     def union(column: pd.Series) -> pd.Series:
         return pd.Series([_union_of(lists) for lists in column])
 
-    kept = rows.groupBy("_key").agg(F.first("_found.n_words").alias("n_words"), F.collect_set("_found.spans").alias("lists"), F.collect_set("_found.items").alias("items"))
-    kept = materialize(kept.select("_key", F.struct("n_words", union("lists").alias("spans"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items")).alias("_hit")), "hits")
-    nothing = _scan(docs, [], text, width)
-    return nothing.join(kept, "_key", "left").withColumn("_found", F.coalesce("_hit", "_found")).drop("_hit", "_key")
+    kept = rows.groupBy("key").agg(F.first("found.n_words").alias("n_words"), F.collect_set("found.spans").alias("lists"), F.collect_set("found.items").alias("items"))
+    kept = materialize(kept.select(F.col("key").alias(key), F.struct("n_words", union("lists").alias("spans"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items")).alias(hit)), "hits")
+    nothing = _scan(docs, [], text, width, into)
+    return nothing.join(kept, key, "left").withColumn(into, F.coalesce(hit, into)).drop(hit, key)
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, share: int = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with n_words, n_hit, n_items, items_sha256, contaminated, spans and items (columns of these names are replaced).
+    """docs with n_words, n_hit, n_items, items_sha256, contaminated, spans and items (columns of these names are replaced, all others stay).
 
     Words are runs of a-z, 0-9 and non-ASCII code points after lower-casing A-Z. spans are the hit ranges of words, begin and end in turn.
     Null and empty texts have no words and no hits; so have items. Items of one id count once; an item with a null id is listed as an empty
@@ -145,19 +146,20 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), utf8(item_text_col).alias("data"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("data") + 64), F.lit(0))).first()[0]
     n_blocks = max(1, -(-total // block_bytes))
+    into = free_name(docs, "_found")
     if n_blocks == 1:
-        rows = _scan(docs, [(r["item"], bytes(r["data"])) for r in items.collect()], text_col, width)
+        rows = _scan(docs, [(r["item"], bytes(r["data"])) for r in items.collect()], text_col, width, into)
     else:
-        rows = _scan_blocks(docs, [items.filter(F.pmod(F.xxhash64("item", "data"), F.lit(n_blocks)) == k) for k in range(n_blocks)], text_col, width)
-    sign = F.transform("_found.spans", lambda x, k: F.when(k % 2 == 1, x).otherwise(-x))
+        rows = _scan_blocks(docs, [items.filter(F.pmod(F.xxhash64("item", "data"), F.lit(n_blocks)) == k) for k in range(n_blocks)], text_col, width, into)
+    sign = F.transform(F.col(into)["spans"], lambda x, k: F.when(k % 2 == 1, x).otherwise(-x))
     n_hit = F.aggregate(sign, F.lit(0).cast("long"), lambda a, x: a + x)
     found = {
-        "n_words": F.col("_found.n_words"),
+        "n_words": F.col(into)["n_words"],
         "n_hit": n_hit,
-        "n_items": F.size("_found.items").cast("long"),
-        "items_sha256": F.sha2(F.array_join("_found.items", ","), 256),
-        "contaminated": (n_hit > 0) & (share * n_hit >= F.col("_found.n_words")),
-        "spans": F.col("_found.spans"),
-        "items": F.col("_found.items"),
+        "n_items": F.size(F.col(into)["items"]).cast("long"),
+        "items_sha256": F.sha2(F.array_join(F.col(into)["items"], ","), 256),
+        "contaminated": (n_hit > 0) & (share * n_hit >= F.col(into)["n_words"]),
+        "spans": F.col(into)["spans"],
+        "items": F.col(into)["items"],
     }
-    return rows.withColumns(found).drop("_found")
+    return rows.withColumns(found).drop(into)

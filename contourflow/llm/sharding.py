@@ -41,6 +41,8 @@ def jump_hash(key: Column, n: int) -> Column:
     """
     start = F.struct(_low32(F.shiftrightunsigned(key, 32)).alias("hi"), _low32(key).alias("lo"), F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("next"))
     end = F.aggregate(F.sequence(F.lit(1), F.lit(min(n, MOST_JUMPS))), start, lambda s, _: _stepped(s, n))
+    # No key of this world jumps that often (the number of jumps is about the logarithm of n); one that did must not get a wrong shard.
+    end = F.when(end["next"] < n, F.raise_error(F.lit(f"a key jumps more than {MOST_JUMPS} times"))).otherwise(end)
     return F.transform(F.array(end), lambda s: F.struct(s["at"].cast("int").alias("shard"), F.when(s["next"] == n, F.lit(n)).otherwise(s["at"]).cast("int").alias("grown")))[0]
 
 
