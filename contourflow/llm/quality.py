@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that the fit reads at most, and bytes of the longest text among them.
 MOST_ROWS = 8000
-MOST_BYTES = 400_000
 BINS = 64
 TREES = 80
 LEAVES = 12
@@ -157,9 +156,13 @@ def statistics_column(text: str | Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: str = "quality", held_out_of: int = 5, most_rows: int = MOST_ROWS) -> Forest:
-    """Learn from `most_rows` labelled rows at most; ids whose crc32 mod held_out_of is 0 are never read."""
+    """Learn from `most_rows` labelled rows at most, their whole texts; ids whose crc32 mod held_out_of is 0 are never read.
+
+    Null ids and labels are left out; a null text has all statistics zero. Documents that repeat a labelled id are all learned from. Of splits of equal gain
+    the first by statistic and bin is taken. Without both labels the forest is a constant: low where label 1 is missing. Other columns are not looked at.
+    """
     chosen = F.broadcast(sample_labels(labels, target, id_col, held_out_of, most_rows, balanced=False))
-    own = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).filter(F.octet_length(F.coalesce("text", F.lit(""))) <= MOST_BYTES)
+    own = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text"))
     rows = own.join(chosen, "label_id").select("label_id", "label", statistics_column("text").alias("x")).limit(2 * most_rows).collect()
     rows.sort(key=lambda r: (str(r["label_id"]), r["x"]))
     y = np.array([r["label"] for r in rows], dtype=float)
@@ -170,7 +173,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, forest: Forest, text_col: str = "text", into: str = "score") -> DataFrame:
-    """docs with a score in [0, 1] of each whole text, 1 for good; null and empty texts have all statistics zero."""
+    """docs with a score in [0, 1] of each whole text, 1 for good; null and empty texts have all statistics zero.
+
+    A column named as `into` is replaced, all others stay. Repeated rows all stay, with equal scores; an empty table stays empty; a very long text is in memory once.
+    """
     shared = broadcast(docs.sparkSession, forest)
 
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

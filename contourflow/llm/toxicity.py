@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from contourflow.llm.common import broadcast, fold, unit_hash
+from contourflow.llm.common import broadcast, fold, materialize, unit_hash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +37,6 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
 )
 #: Labelled rows that the fit reads at most, and code points of the longest text among them.
 MOST_ROWS = 8000
-MOST_CHARS = 200_000
 MOST_FEATURES = 4096
 LEAST_DOCUMENTS = 3
 BEGINNINGS = (4, 5, 6)
@@ -144,10 +143,14 @@ def sample_labels(labels: DataFrame, target: str, id_col: str, held_out_of: int,
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: str = "toxic", held_out_of: int = 5, most_rows: int = MOST_ROWS, most_features: int = MOST_FEATURES, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, penalty: float = PENALTY) -> Model:
-    """Learn from `most_rows` labelled rows at most; ids whose crc32 mod held_out_of is 0 are never read."""
+    """Learn from `most_rows` labelled rows at most, their whole texts; ids whose crc32 mod held_out_of is 0 are never read.
+
+    Null ids, labels and texts are left out. Documents that repeat a labelled id are all learned from. Ties between features go by their names. Without
+    both labels the model is a constant: low where label 1 is missing. Other columns are not looked at.
+    """
     chosen = F.broadcast(sample_labels(labels, target, id_col, held_out_of, most_rows))
-    own = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).filter(F.length("text") <= MOST_CHARS)
-    train = own.join(chosen, "label_id").select("label_id", "label", "text")
+    own = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+    train = materialize(own.join(chosen, "label_id").select("label_id", "label", "text"), "labelled")
     table = swaps(terms)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,7 +193,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:
-    """docs with a score in [0, 1] of each whole text, 1 for toxic; null and empty texts get the score of the bias alone."""
+    """docs with a score in [0, 1] of each whole text, 1 for toxic; null and empty texts get the score of the bias alone.
+
+    A column named as `into` is replaced, all others stay. Repeated rows all stay, with equal scores; an empty table stays empty; a very long text is a set of its distinct words.
+    """
     shared = broadcast(docs.sparkSession, model)
 
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
