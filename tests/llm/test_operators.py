@@ -424,7 +424,7 @@ def test_classifiers_on_odd_rows_and_nothing(spark, odd):
     some = spark.createDataFrame([(5, 1, 0), (5, 1, 0), (2, 0, 1), (None, 1, 1), (7, None, None), (10, 1, 0), (12, 0, 1), (9, 0, 1)], "doc_id long, quality int, toxic int")
     for labels in (none, some):
         for module in (toxicity, quality):
-            got = module.score(odd.select("doc_id", "text"), module.fit(odd, labels)).collect()
+            got = module.score(odd, module.fit(odd, labels)).collect()
             assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
     empty = spark.createDataFrame([], DOCS)
     assert toxicity.score(empty, toxicity.fit(empty, some)).count() == 0
@@ -450,7 +450,7 @@ def test_forest_splits_what_one_statistic_splits():
 
 def test_languages_of_odd_rows_and_nothing(spark, odd):
     model = langid.fit(odd)
-    got = langid.predict(odd.select("doc_id", "text"), model).collect()
+    got = langid.predict(odd.withColumn("_language", F.lit(1)), model).collect()
     for r in got:
         assert (r["lang_pred"] == "und") == (not r["text"] or not any(c.isalpha() for c in r["text"]))
         assert 0 <= r["score"] <= 1
