@@ -43,7 +43,7 @@ def parse_cell(text: Column) -> Column:
         .when(t.isin("inf", "-inf", "nan") | t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), "double")
         .otherwise("text")
     )
-    number = F.when(t.isin("True"), F.lit(1.0)).when(t == "False", F.lit(0.0)).when(kind.isin("int", "double"), F.try_to_number(F.lit("0"), F.lit("0")).cast("double") * 0 + t.try_cast("double"))
+    number = F.when(t.isin("True"), F.lit(1.0)).when(t == "False", F.lit(0.0)).when(kind.isin("int", "double"), t.try_cast("double"))
     return F.struct(kind.alias("kind"), number.alias("number"))
 
 

@@ -69,6 +69,15 @@ def measures(points: DataFrame) -> DataFrame:
     return out.withColumn("sinuosity", F.when(closed, F.lit(INF)).otherwise(F.col("length_m") / F.nullif(F.col("straight_m"), F.lit(0.0))))
 
 
+def bundle(points: DataFrame, step: float = STEP_M, chord: float = CHORD_M) -> DataFrame:
+    """measures() with the smallest radius, inf where nothing bends, and the length after resampling (PL-10)."""
+    stations = resample(points, step)
+    r_min = curve_radii(stations, step, chord).groupBy(PATH).agg(F.min("radius_m").alias("_r"))
+    length = chainage(stations.withColumn("seq", F.col("k"))).groupBy(PATH).agg(F.max("s").alias("resampled_length_m"))
+    both = measures(points).join(length, PATH, "left").join(r_min, PATH, "left")
+    return both.withColumn("r_min_m", F.coalesce("_r", F.lit(INF))).drop("_r")
+
+
 def chainage(points: DataFrame) -> DataFrame:
     """points with s, the planar length so far (WN-1)."""
     step = F.hypot(F.col("x_m") - F.lag("x_m").over(along()), F.col("y_m") - F.lag("y_m").over(along()))
@@ -234,8 +243,8 @@ def station_gradient(stations: DataFrame) -> DataFrame:
 
 
 def classify(stations: DataFrame, radius: float | None = None) -> DataFrame:
-    """stations with is_curve: a radius under that of a straight line (PL-14, before short runs are absorbed)."""
-    return stations.withColumn("is_curve", F.col("r_h") < (straight_radius() if radius is None else radius))
+    """stations with is_curve: a finite radius up to that of a straight line (PL-14, before short runs are absorbed; smoothing.classified absorbs them)."""
+    return stations.withColumn("is_curve", F.coalesce(finite(F.col("r_h")) <= (straight_radius() if radius is None else radius), F.lit(False)))
 
 
 def point_distances(pairs: DataFrame, points: DataFrame, order: str = "seq") -> DataFrame:

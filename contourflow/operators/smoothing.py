@@ -58,7 +58,7 @@ def smooth_path(xyz: np.ndarray, r_min: float, i_max: float, iterations: int = 1
     def bends(curve: np.ndarray) -> np.ndarray:
         r = radii(curve)
         at = np.linspace(0, len(r) - 1, len(curve)).round().astype(int)
-        return r[at] < straight_radius()
+        return np.isfinite(r[at]) & (r[at] <= straight_radius())
 
     def once(radius: float, budget: float, drop: np.ndarray | None = None) -> tuple[np.ndarray, object]:
         xy = xyz[:, :2]
