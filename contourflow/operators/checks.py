@@ -121,14 +121,18 @@ def all_pass(checked: DataFrame) -> DataFrame:
     return checked.groupBy(PATH, "road_class").agg((F.count_if(F.col("status") == "fail") == 0).alias("ok"))
 
 
-def screen_grade(pairs: DataFrame, cells: DataFrame, cell_m: float, i_max_percent: float, most_development: float = 2.0) -> DataFrame:
-    """Pairs with the straight distance and height difference of their ends, the development the grade limit needs and whether it is under the most (CK-10)."""
+def screen_grade(pairs: DataFrame, cells: DataFrame, cell_m: float, i_max_percent: float) -> DataFrame:
+    """Pairs with the straight line between their ends: its gradient, the length and development the limit needs, and whether it is within the limit (CK-10).
+
+    Two ends at one place have no straight line: gradient, development and verdict are NULL.
+    """
     at = lambda end: cells.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("i", "j", "z")])
     both = pairs.join(at("start"), "start").join(at("target"), "target")
     distance = F.hypot((F.col("i_start") - F.col("i_target")).cast("double"), (F.col("j_start") - F.col("j_target")).cast("double")) * cell_m
     rows = both.select("od_id", "start", "target", distance.alias("distance_m"), F.abs(F.col("z_target") - F.col("z_start")).alias("dz_m"))
-    need = F.when(F.col("distance_m") > 0, F.greatest(F.lit(1.0), F.col("dz_m") / (i_max_percent / 100) / F.nullif(F.col("distance_m"), F.lit(0.0))))
-    return rows.withColumn("development", need).withColumn("passes", at_most(F.col("development"), F.lit(most_development)))
+    straight = F.nullif(F.col("distance_m"), F.lit(0.0))
+    rows = rows.withColumns({"gradient_percent": 100 * F.col("dz_m") / straight, "least_length_m": F.col("dz_m") / (i_max_percent / 100)})
+    return rows.withColumns({"development": F.col("least_length_m") / straight, "passes": F.col("gradient_percent") <= i_max_percent})
 
 
 def worst_first(checked: DataFrame, n: int) -> DataFrame:
