@@ -93,12 +93,38 @@ def guard(edges: DataFrame, name: str) -> None:
         raise InvalidCostModel(f"{name} gives {bad} weights that are not finite numbers from zero")
 
 
-def grid_edge_cost(name: str, i_max_percent: float) -> tuple[CostModel, float | None]:
+# The studies' names of edge costs and the models they stand for.
+GRID_EDGE_COSTS = {"climb": "height", "climb_tiebreak": "height_tiebreak", "length_3d": "3d"}
+# Search spaces and edge costs by the names of earlier runs.
+LEGACY_SPACES = {"full_grid": ("full_grid", ""), "hag_yellow": ("hag_cta", "shared_border"), "hag_yellow_k1": ("hag_cta_ring1", "shared_border")}
+LEGACY_COSTS = {
+    "height": "climb",
+    "height_tiebreak": "climb_tiebreak",
+    "3d": "length_3d",
+    "weighted_h1_l1": "climb_plus_length",
+    "gradpen_1": "climb_gradient_penalty",
+    "gradcut": "climb_gradient_cut",
+}
+
+
+def grid_edge_cost(name: str, i_max_percent: float | None = None) -> tuple[CostModel, float | None]:
     """A named edge cost of the studies: its model and, for the cut, the gradient cap in percent (COST-9)."""
-    if name == "height_penalised":
-        return gradient_penalised("height_tiebreak", i_max_percent, 1.0), None
-    if name == "height_cut":
-        return get("height_tiebreak"), i_max_percent
-    if name == "height_length":
+    if name in GRID_EDGE_COSTS:
+        return get(GRID_EDGE_COSTS[name]), None
+    if name == "climb_plus_length":
         return weighted_sum(height=1.0, length=1.0), None
-    return get(name), None
+    if name not in ("climb_gradient_penalty", "climb_gradient_cut"):
+        raise InvalidCostModel(f"no edge cost {name}")
+    if i_max_percent is None:
+        raise InvalidCostModel(f"{name} needs a largest gradient")
+    if name == "climb_gradient_cut":
+        return get("height_tiebreak"), float(i_max_percent)
+    return gradient_penalised("height_tiebreak", i_max_percent, 1.0), None
+
+
+def current_names(space: Column, cost: Column) -> Column:
+    """struct(search_space, hag_edge_cost, edge_cost) for the names of earlier runs; names that are not of an earlier run stay."""
+    spaces = F.create_map(*[x for k, v in LEGACY_SPACES.items() for x in (F.lit(k), F.struct(F.lit(v[0]).alias("search_space"), F.lit(v[1]).alias("hag_edge_cost")))])
+    names = F.create_map(*[F.lit(x) for kv in LEGACY_COSTS.items() for x in kv])
+    known = F.coalesce(F.try_element_at(spaces, space), F.struct(space.alias("search_space"), F.lit(None).cast("string").alias("hag_edge_cost")))
+    return F.struct(known["search_space"].alias("search_space"), known["hag_edge_cost"].alias("hag_edge_cost"), F.coalesce(F.try_element_at(names, cost), cost).alias("edge_cost"))
