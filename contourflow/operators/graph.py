@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from math import pi
 
 import contourflow
 import numpy as np
@@ -11,6 +13,7 @@ import pandas as pd
 from contourflow.functions.costs import CostModel, resolve
 from contourflow.kernels.labels import inscribed, union
 from contourflow.kernels.search import Graph, hop_diameter
+from contourflow.operators import raster
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -25,16 +28,31 @@ LEAST_AREA_WEIGHT = 1e-12
 KERNEL_EDGES = 8_000_000
 
 _fallback: list[str] = []
+_made: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; in a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder that spark.checkpoint.dir (or setCheckpointDir) names, deleted when the driver ends. A temporary folder only where neither is set and the master is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         if not _fallback:
             _fallback.append(tempfile.mkdtemp(prefix="contourflow-"))
         root = _fallback[0]
-    return f"{root.rstrip('/')}/contourflow-graph-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/contourflow-graph-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _made:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the JVM may be gone already; the folder is temporary either way
+            return
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -204,7 +222,7 @@ def dilate(areas: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     return out
 
 
-def perimeters(labelled: DataFrame, connectivity: int = 4) -> DataFrame:
+def perimeters(labelled: DataFrame, connectivity: int = 8) -> DataFrame:
     """Cells of each area with fewer than `connectivity` neighbours in it (GR-12, GR-32)."""
     same = _neighbours(labelled, connectivity, False, ["area_id"]).filter("area_id_u = area_id_v").groupBy("terrain_id", F.col("u").alias("node")).agg(F.count("*").alias("n"))
     edge = labelled.join(same, ["terrain_id", "node"], "left").filter(F.coalesce("n", F.lit(0)) < connectivity)
@@ -237,6 +255,48 @@ def descriptors(labelled: DataFrame, connectivity: int = 8) -> DataFrame:
     return out.withColumns({"cyclomatic": F.col("n_edges") - F.col("n_areas") + F.col("n_components"), "planarity": F.when(F.col("n_areas") >= 3, F.col("n_edges") / (3 * F.col("n_areas") - 6))})
 
 
+def describe(cells: DataFrame, labelled: DataFrame, n_rows: int, n_cols: int, cell_m: float, connectivity: int = 8, diameter: bool = True) -> DataFrame:
+    """A row a terrain with all descriptors of its area graph and of its ground (GR-30): descriptors() beside what follows from areas, perimeters, heights and slopes."""
+    top = descriptors(labelled, connectivity)
+    areas = area_table(labelled).select("terrain_id", "area_id", "area_size")
+    compact = F.col("area_size") * (4 * pi) / F.pow(F.greatest(F.coalesce("perimeter_cells", F.lit(0)), F.lit(1)).cast("double"), F.lit(2.0))
+    shapes = areas.join(perimeters(labelled, connectivity), ["terrain_id", "area_id"], "left").groupBy("terrain_id").agg(
+        F.median(compact).alias("compactness_median"), (F.median("area_size") * cell_m**2).alias("area_m2_median"), (F.avg("area_size") * cell_m**2).alias("area_m2_mean"),
+    )
+    ground = labelled.groupBy("terrain_id").agg(F.count("*").alias("n_valid_cells"), (F.max("z") - F.min("z")).alias("relief_m"))
+    slope = F.col("slope_percent")
+    gon = raster.gon_from_percent(slope)
+    slopes = raster.slope_percent(cells, n_rows, n_cols, cell_m).groupBy("terrain_id").agg(
+        F.avg(slope).alias("slope_mean"), F.max(slope).alias("slope_max"), F.percentile(slope, F.lit(0.5)).alias("slope_p50"), F.percentile(slope, F.lit(0.9)).alias("slope_p90"),
+        F.percentile(gon, F.lit(0.5)).alias("slope_gon_p50"), (F.count_if((gon >= 20) & (gon <= 25)) / F.count("*")).alias("share_slope_20_25_gon"),
+    )
+    out = top.join(shapes, "terrain_id").join(ground, "terrain_id").join(slopes, "terrain_id", "left")
+    out = out.withColumns({
+        "areas_per_band_mean": F.col("n_areas") / F.col("n_bands"), "edges_per_area_mean": 2.0 * F.col("n_edges") / F.col("n_areas"),
+        "n_cells_total": F.lit(n_rows * n_cols).cast("long"), "valid_share": F.col("n_valid_cells") / float(n_rows * n_cols),
+    })
+    return out.join(hop_diameters(area_edges(labelled, connectivity)), "terrain_id", "left") if diameter else out
+
+
+def void_audit(cells: DataFrame) -> DataFrame:
+    """(terrain_id, n_void, void_share, largest_void_cells): the voids of each terrain and the largest piece of them, joined by sides (RAS-1)."""
+    voids = cut_lineage(cells.filter(~F.col("valid")).select("terrain_id", "node", "i", "j"))
+    pieces = components(voids.select("terrain_id", "node"), _neighbours(voids, 4, True, []).select("terrain_id", "u", "v"))
+    largest = pieces.groupBy("terrain_id", "root").agg(F.count("*").alias("n")).groupBy("terrain_id").agg(F.max("n").alias("largest"))
+    counts = cells.groupBy("terrain_id").agg(F.count_if(~F.col("valid")).alias("n_void"), F.count("*").alias("n"))
+    return counts.join(largest, "terrain_id", "left").select("terrain_id", "n_void", (F.col("n_void") / F.col("n")).alias("void_share"), F.coalesce("largest", F.lit(0)).cast("long").alias("largest_void_cells"))
+
+
+def describe_selection(chain: DataFrame, selected: DataFrame, labelled: DataFrame, cell_m: float = 1.0) -> DataFrame:
+    """(terrain_id, od_id, hops, n_areas, n_cells, narrowest_m) of a chain (terrain_id, od_id, seq, area_id) and the areas selected around it (terrain_id, od_id, area_id) (GR-34)."""
+    sizes = area_table(labelled).select("terrain_id", "area_id", "area_size")
+    hops = chain.groupBy("terrain_id", "od_id").agg((F.count("*") - 1).alias("hops"))
+    own = selected.join(sizes, ["terrain_id", "area_id"]).groupBy("terrain_id", "od_id").agg(F.count("*").alias("n_areas"), F.sum("area_size").alias("n_cells"))
+    asked = labelled.join(selected.select("terrain_id", "area_id").distinct(), ["terrain_id", "area_id"], "left_semi")
+    narrow = selected.join(widths(asked, cell_m), ["terrain_id", "area_id"]).groupBy("terrain_id", "od_id").agg(F.min("width_m").alias("narrowest_m"))
+    return hops.join(own, ["terrain_id", "od_id"]).join(narrow, ["terrain_id", "od_id"], "left")
+
+
 def boundary_components(labelled: DataFrame, connectivity: int = 8) -> DataFrame:
     """(terrain_id, a, b, node, arc): the cells on either side of each pair's border, by connected stretch; an arc is named by its smallest cell (GR-11)."""
     pairs = crossings(labelled, connectivity).select("terrain_id", F.col("area_low").alias("a"), F.col("area_high").alias("b"), F.explode(F.array("node_low", "node_high")).alias("node")).distinct()

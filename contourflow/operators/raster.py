@@ -119,6 +119,14 @@ def sample_bilinear(points: DataFrame, cells: DataFrame, n_rows: int, n_cols: in
     return corners.filter("w > 0").join(heights, ["terrain_id", "i", "j"]).groupBy("terrain_id", "point").agg(F.sum(F.col("w") * F.col("z")).alias("z"))
 
 
+def path_xyz(points: DataFrame, cells: DataFrame, n_rows: int, n_cols: int, cell_m: float) -> DataFrame:
+    """(terrain_id, path_id, seq, x_m, y_m, z_m) of points(terrain_id, path_id, seq, row, col) in cells: metres, with the heights sampled from the raster (RAS-13)."""
+    named = points.select("terrain_id", F.struct("path_id", "seq").alias("point"), "row", "col")
+    heights = sample_bilinear(named, cells, n_rows, n_cols).select("terrain_id", "point", F.col("z").alias("z_m"))
+    both = named.join(heights, ["terrain_id", "point"], "left")
+    return both.select("terrain_id", "point.path_id", "point.seq", (F.col("row") * cell_m).alias("x_m"), (F.col("col") * cell_m).alias("y_m"), "z_m")
+
+
 def cell_size_m(lat: Column, arcsec: float) -> tuple[Column, Column]:
     """North-south and east-west size of a sample at a latitude, from the ellipsoid's radii of curvature (RAS-2)."""
     step = pi / 180 / 3600 * arcsec

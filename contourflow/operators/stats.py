@@ -145,3 +145,42 @@ def shares(df: DataFrame, groups: list[str], conditions: dict[str, Column]) -> D
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """Rows of tables whose columns grew, missing ones NULL (SNK-6)."""
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
+
+
+def protocol_rows(df: DataFrame) -> DataFrame:
+    """Rows of protocol pairs under real classes: the reference pair and synthetic classes go (FLT-6)."""
+    return df.filter(F.coalesce(F.col("od_protocol"), F.lit(False)) & ~F.coalesce(F.col("road_class"), F.lit("")).startswith("SYNTHETIC"))
+
+
+def population_geometry(df: DataFrame, iterations: int = 1) -> DataFrame:
+    """Protocol rows with a class, at one number of iterations (AG-9)."""
+    return protocol_rows(df).filter((F.col("algorithm_1_iterations") == iterations) & (F.coalesce(F.col("road_class"), F.lit("")) != ""))
+
+
+def reported_rows(df: DataFrame, spaces: list[str], edge_costs: list[str]) -> DataFrame:
+    """Rows whose search space and edge cost are still in use; rows without one are of a kind that has none (FLT-10)."""
+    space, edge = F.col("search_space"), F.col("hag_edge_cost")
+    return df.filter((space.isNull() | space.isin(spaces)) & (edge.isNull() | (edge == "") | edge.isin(edge_costs)))
+
+
+def by_arm(df: DataFrame, keys: list[str], arm: str, arms: list[str], values: list[str]) -> DataFrame:
+    """A row a key with each value of each arm beside each other (value_arm), one shuffle (JN-3)."""
+    return df.groupBy(*keys).agg(*[F.max(F.when(F.col(arm) == a, F.col(v))).alias(f"{v}_{a}") for a in arms for v in values])
+
+
+def timings(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Median, extremes and number of repeated timings (AG-14)."""
+    return df.groupBy(*keys).agg(F.median(value).alias("median"), F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("repeats"))
+
+
+def flatten_scenarios(scenarios: DataFrame) -> DataFrame:
+    """A row for each scenario, arm, class and number of iterations; an arm without geometry keeps one row, with an empty class and 0 iterations (JN-10).
+
+    scenarios: scenario_id, other columns that stay, arms (map: arm -> struct) and geometry (map: arm -> array of struct(road_class, iterations, ..)).
+    """
+    kept = [c for c in scenarios.columns if c not in ("arms", "geometry")]
+    rows = scenarios.select(*kept, "geometry", F.explode("arms").alias("arm", "measures"))
+    rows = rows.select(*kept, "arm", "measures.*", F.explode_outer(F.try_element_at("geometry", F.col("arm"))).alias("_g"))
+    inner = [f.name for f in rows.schema["_g"].dataType.fields]
+    default = {"road_class": F.lit(""), "iterations": F.lit(0)}
+    return rows.select(*[c for c in rows.columns if c != "_g"], *[F.coalesce(F.col("_g")[c], default[c]).alias(c) if c in default else F.col("_g")[c].alias(c) for c in inner])

@@ -13,6 +13,7 @@ from pathlib import Path
 
 import contourflow
 import pandas as pd
+from contourflow.operators.graph import cut_lineage
 from contourflow.operators.stats import latest_status, not_done
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,7 +84,7 @@ def require_memory(cells: int, total_bytes: int, share: float = MEMORY_SHARE) ->
 def run(rows: DataFrame, log: DataFrame | None, worker: Callable[[dict], list[dict]], result: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Results and statuses of the units that the log does not call done (RT-2, RT-5, RT-7).
 
-    A unit is a row of its own partition slot; what it raises becomes its status, never the run's. Both tables come of one pass.
+    A unit is a row of its own partition slot; what it raises becomes its status, never the run's. The pass is written to the shared folder and both tables are read from it, so no unit runs twice.
     """
     todo = rows if log is None else not_done(rows, log)
     todo = todo if limit is None else todo.orderBy("unit_id").limit(limit)
@@ -104,7 +105,7 @@ def run(rows: DataFrame, log: DataFrame | None, worker: Callable[[dict], list[di
 
     n = max(1, int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     struct = ", ".join(f"{n}: {t}" for n, t in (c.split(None, 1) for c in re.split(r",\s*(?![^<]*>)", result)))
-    both = todo.repartition(n, "unit_id").mapInPandas(work, f"unit_id string, status string, wall_s double, reason string, row struct<{struct}>")
+    both = cut_lineage(todo.repartition(n, "unit_id").mapInPandas(work, f"unit_id string, status string, wall_s double, reason string, row struct<{struct}>"))
     return both.filter("row IS NOT NULL").select("unit_id", "row.*"), both.select("unit_id", "status", "wall_s", "reason").distinct()
 
 

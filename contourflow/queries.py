@@ -242,7 +242,7 @@ def k_ring(spark, sf_dir):
 @query(f"""{PART_AREAS}, s AS (SELECT a.node, count(*) AS n FROM labelled a, steps s, labelled b WHERE s.k < 4 AND b.i = a.i + s.di AND b.j = a.j + s.dj AND a.area_id = b.area_id GROUP BY 1)
   SELECT area_id, count(*) AS perimeter_cells FROM labelled LEFT JOIN s USING (node) WHERE coalesce(n, 0) < 4 GROUP BY 1""")
 def perimeter(spark, sf_dir):
-    return graph.perimeters(graph.height_areas(bind.part_grid(spark, sf_dir), 10)).select("area_id", "perimeter_cells")
+    return graph.perimeters(graph.height_areas(bind.part_grid(spark, sf_dir), 10), 4).select("area_id", "perimeter_cells")
 
 
 @query(f"""{PART_AREAS}, ends AS (SELECT a AS area_id FROM pairs UNION ALL SELECT b FROM pairs), deg AS (SELECT area_id, area_size, area_height, (SELECT count(*) FROM ends e WHERE e.area_id = areas.area_id) AS degree, row_number() OVER (ORDER BY area_size, area_id) AS rk FROM areas)
@@ -255,6 +255,42 @@ def hag_descriptors(spark, sf_dir):
     return d.select("n_areas", "n_bands", "degree_median", "degree_max", "size_median", "n_edges", "cyclomatic", *[r6(c).alias(c) for c in rounded])
 
 
+@query(f"""{PART_AREAS}, same AS (SELECT a.node, count(*) AS n FROM labelled a, steps s, labelled b WHERE b.i = a.i + s.di AND b.j = a.j + s.dj AND a.area_id = b.area_id GROUP BY 1), per AS (SELECT area_id, count(CASE WHEN coalesce(n, 0) < 8 THEN 1 END) AS p FROM labelled LEFT JOIN same USING (node) GROUP BY 1),
+  g AS (SELECT c.node, CASE WHEN w.z IS NULL THEN e.z - c.z WHEN e.z IS NULL THEN c.z - w.z ELSE (e.z - w.z) / 2 END AS dx, CASE WHEN n.z IS NULL THEN s.z - c.z WHEN s.z IS NULL THEN c.z - n.z ELSE (s.z - n.z) / 2 END AS dy FROM cells c LEFT JOIN cells w ON w.i = c.i AND w.j = c.j - 1 LEFT JOIN cells e ON e.i = c.i AND e.j = c.j + 1 LEFT JOIN cells n ON n.i = c.i - 1 AND n.j = c.j LEFT JOIN cells s ON s.i = c.i + 1 AND s.j = c.j),
+  slope AS (SELECT 10 * sqrt(dx * dx + dy * dy) AS x, atan(sqrt(dx * dx + dy * dy) / 10) * 200 / pi() AS gon FROM g),
+  one AS (SELECT (SELECT round(median(4 * pi() * area_size / power(greatest(p, 1), 2)), 6) FROM areas JOIN per USING (area_id)) AS compactness_median, (SELECT median(area_size) * 100 FROM areas) AS area_m2_median, (SELECT round(avg(area_size) * 100, 6) FROM areas) AS area_m2_mean, (SELECT count(*) FROM cells) AS n_valid_cells, (SELECT max(z) - min(z) FROM cells) AS relief_m)
+  SELECT one.*, round((SELECT count(*) / count(DISTINCT area_height) FROM areas), 6) AS areas_per_band_mean, round(2 * (SELECT count(*) FROM pairs) / (SELECT count(*) FROM areas), 6) AS edges_per_area_mean, round(avg(x), 6) AS slope_mean, round(max(x), 6) AS slope_max, round(quantile_cont(x, 0.5), 6) AS slope_p50, round(quantile_cont(x, 0.9), 6) AS slope_p90, round(quantile_cont(gon, 0.5), 6) AS slope_gon_p50, round(count(CASE WHEN gon >= 20 AND gon <= 25 THEN 1 END) / count(*), 6) AS share_slope_20_25_gon FROM slope, one GROUP BY ALL""")
+def hag_ground(spark, sf_dir):
+    """The descriptors of areas' shapes, heights and slopes; part_grid's rows are whole, so every cell has a slope."""
+    cells = bind.part_grid(spark, sf_dir)
+    rows = cells.agg(F.max("i")).first()[0] + 1
+    d = graph.describe(cells, graph.height_areas(cells, 10), rows, 50, 10.0, diameter=False)
+    rounded = ("compactness_median", "area_m2_mean", "areas_per_band_mean", "edges_per_area_mean", "slope_mean", "slope_max", "slope_p50", "slope_p90", "slope_gon_p50", "share_slope_20_25_gon")
+    return d.select("area_m2_median", "n_valid_cells", "relief_m", *[r6(c).alias(c) for c in rounded])
+
+
+VOIDED = "cells AS (SELECT node, i, j, z, (node * 7 + i * 3) % 11 > 4 AS valid FROM (" + bind.PART_GRID.replace(", TRUE AS valid", "") + "))"
+
+
+@query(f"""WITH RECURSIVE {VOIDED}, {STEPS}, touch AS (SELECT a.node AS u, b.node AS v FROM cells a, steps s, cells b WHERE s.k < 4 AND b.i = a.i + s.di AND b.j = a.j + s.dj AND NOT a.valid AND NOT b.valid),
+  lab(node, root) USING KEY (node) AS (SELECT node, node FROM cells WHERE NOT valid UNION SELECT t.v, min(l.root) FROM lab l JOIN touch t ON t.u = l.node JOIN recurring.lab o ON o.node = t.v WHERE l.root < o.root GROUP BY t.v)
+  SELECT count(CASE WHEN NOT valid THEN 1 END) AS n_void, round(count(CASE WHEN NOT valid THEN 1 END) / count(*), 6) AS void_share, (SELECT max(n) FROM (SELECT count(*) AS n FROM lab GROUP BY root)) AS largest_void_cells FROM cells""")
+def void_audit(spark, sf_dir):
+    cells = bind.part_grid(spark, sf_dir).withColumn("valid", (F.col("node") * 7 + F.col("i") * 3) % 11 > 4)
+    return graph.void_audit(cells).select("n_void", r6("void_share").alias("void_share"), "largest_void_cells")
+
+
+@query(f"""{CELLS}, p AS (SELECT o_custkey AS path_id, o_orderkey AS seq, o_orderkey % 29 / 10 AS r, o_custkey % 489 / 10 AS c FROM orders), b AS (SELECT *, CAST(floor(r) AS INT) AS r0, CAST(floor(c) AS INT) AS c0 FROM p)
+  SELECT path_id, seq, round(r * 20, 5) AS x_m, round(c * 20, 5) AS y_m, round(a.z * (1 - (r - r0)) * (1 - (c - c0)) + d.z * (r - r0) * (1 - (c - c0)) + e.z * (1 - (r - r0)) * (c - c0) + f.z * (r - r0) * (c - c0), 4) AS z_m FROM b
+  JOIN cells a ON a.i = r0 AND a.j = c0 JOIN cells d ON d.i = r0 + 1 AND d.j = c0 JOIN cells e ON e.i = r0 AND e.j = c0 + 1 JOIN cells f ON f.i = r0 + 1 AND f.j = c0 + 1""")
+def path_heights(spark, sf_dir):
+    cells = bind.part_grid(spark, sf_dir)
+    rows = cells.agg(F.max("i")).first()[0] + 1
+    points = bind.table(spark, sf_dir, "orders").select(F.lit("part").alias("terrain_id"), F.col("o_custkey").alias("path_id"), F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") % 29 / 10).alias("row"), (F.col("o_custkey") % 489 / 10).alias("col"))
+    found = raster.path_xyz(points, cells, rows, 50, 20.0)
+    return found.select("path_id", "seq", F.round("x_m", 5).alias("x_m"), F.round("y_m", 5).alias("y_m"), F.round("z_m", 4).alias("z_m"))
+
+
 @query(f"{CELLS}, b AS (SELECT i // 7 AS a, j // 7 AS b, count(*) AS n, avg(z) AS z FROM cells GROUP BY 1, 2) SELECT CAST(row_number() OVER (ORDER BY a, b) - 1 AS BIGINT) AS area_id, n AS area_size, round(z, 6) AS mean_z FROM b")
 def block_abstraction(spark, sf_dir):
     return graph.area_table(graph.blocks(bind.part_grid(spark, sf_dir), 7)).select("area_id", "area_size", r6("mean_z").alias("mean_z"))
@@ -324,18 +360,42 @@ def chain_cost(spark, sf_dir):
     return search.distances(edges, spark.createDataFrame([("hill", 0)], "terrain_id string, start long")).select(F.col("node").alias("area_id"), "cost")
 
 
+#: Cheapest costs from every start of the pairs at once. The weight is the climb, a whole number, plus a millionth of the length, so both can be read off a cost;
+#: a length is a + b times the root of two for one a and b only, which gives the number of edges.
+OD_COSTS = f"""WITH RECURSIVE cells AS ({bind.PART_GRID}), {STEPS}, edges AS (SELECT c.node AS u, d.node AS v, abs(d.z - c.z) + 1e-6 * sqrt(CAST(di * di + dj * dj AS DOUBLE)) AS w FROM cells c, steps s, cells d WHERE d.i = c.i + s.di AND d.j = c.j + s.dj),
+  pairs AS ({bind.od_pairs_sql()}), best(start, node, cost) USING KEY (start, node) AS (SELECT DISTINCT start, start, CAST(0 AS DOUBLE) FROM pairs UNION
+    SELECT b.start, e.v, min(b.cost + e.w) FROM best b JOIN edges e ON e.u = b.node LEFT JOIN recurring.best o ON o.start = b.start AND o.node = e.v WHERE o.cost IS NULL OR b.cost + e.w < o.cost - 1e-12 GROUP BY b.start, e.v),
+  found AS (SELECT od_id, cost, floor(cost + 1e-9) AS climb_m, (cost - floor(cost + 1e-9)) * 1e6 AS length_m FROM pairs LEFT JOIN best ON best.start = pairs.start AND best.node = pairs.target)"""
+
+
+@query(f"{OD_COSTS} SELECT od_id, cost IS NOT NULL AS path_found, round(cost, 5) AS cost, round(length_m, 3) AS length_m, climb_m FROM found")
+def search_costs(spark, sf_dir):
+    cells = bind.part_grid(spark, sf_dir)
+    pairs = bind.od_pairs(cells).withColumn("terrain_id", F.lit("part"))
+    found = search.searches(_weighted(spark, sf_dir, "height_tiebreak"), pairs, cells)
+    return found.select("od_id", "path_found", F.round("cost", 5).alias("cost"), F.round("length_m", 3).alias("length_m"), "climb_m")
+
+
 @query()
 def search_counters(spark, sf_dir):
     cells = bind.part_grid(spark, sf_dir)
     pairs = bind.od_pairs(cells).withColumn("terrain_id", F.lit("part"))
-    return search.searches(_weighted(spark, sf_dir, "height_tiebreak"), pairs).select("od_id", "path_found", r6("cost").alias("cost"), "nodes_expanded", "nodes_pushed", "nodes_reached", "n_nodes", "n_edges")
+    return search.searches(_weighted(spark, sf_dir, "height_tiebreak"), pairs, cells).select("od_id", "path_found", r6("cost").alias("cost"), "nodes_expanded", "nodes_pushed", "nodes_reached", "n_nodes", "n_edges")
 
 
-@query()
+@query(f"""{OD_COSTS} SELECT od_id, round(cost, 5) AS cost, round(length_m, 3) AS length_m, climb_m, (SELECT CAST(arg_min(b + round(length_m - b * sqrt(2)), abs(length_m - b * sqrt(2) - round(length_m - b * sqrt(2)))) AS BIGINT) FROM (SELECT unnest(range(0, 400)) AS b) WHERE b * sqrt(2) <= length_m + 1e-3) AS n_edges FROM found WHERE cost IS NOT NULL AND length_m > 0.5""")
 def path_recost(spark, sf_dir):
     pairs = bind.od_pairs(bind.part_grid(spark, sf_dir)).withColumn("terrain_id", F.lit("part"))
     edges = _weighted(spark, sf_dir, "height_tiebreak")
-    return search.recost(search.paths(edges, pairs), edges).select("od_id", r6("cost").alias("cost"), r6("length_m").alias("length_m"), "climb_m", "n_edges")
+    return search.recost(search.paths(edges, pairs), edges).select("od_id", F.round("cost", 5).alias("cost"), F.round("length_m", 3).alias("length_m"), "climb_m", "n_edges")
+
+
+@query(f"""{OD_COSTS} SELECT od_id, climb_m, round(length_m, 3) AS length_m, round(length_m / nullif((SELECT sqrt(CAST((a.i - b.i) * (a.i - b.i) + (a.j - b.j) * (a.j - b.j) AS DOUBLE)) FROM pairs p JOIN cells a ON a.node = p.start JOIN cells b ON b.node = p.target WHERE p.od_id = found.od_id), 0), 4) AS sinuosity FROM found WHERE length_m > 0.5""")
+def search_path_measures(spark, sf_dir):
+    cells = bind.part_grid(spark, sf_dir)
+    pairs = bind.od_pairs(cells).withColumn("terrain_id", F.lit("part"))
+    found = search.path_measures(search.paths(_weighted(spark, sf_dir, "height_tiebreak"), pairs), cells, 1.0, 1.0, 4.0)
+    return found.filter("length_m > 0.5").select("od_id", "climb_m", F.round("length_m", 3).alias("length_m"), F.round("sinuosity", 4).alias("sinuosity"))
 
 
 @query()
@@ -558,11 +618,11 @@ def station_verdicts(spark, sf_dir):
 
 
 @query(f"""{CELLS}, pairs AS ({bind.od_pairs_sql()}), d AS (SELECT od_id, start, target, sqrt(CAST((a.i - b.i) * (a.i - b.i) + (a.j - b.j) * (a.j - b.j) AS DOUBLE)) * 10 AS m, abs(b.z - a.z) AS dz FROM pairs JOIN cells a ON a.node = start JOIN cells b ON b.node = target)
-  SELECT od_id, start, target, round(m, 5) AS distance_m, dz AS dz_m, CASE WHEN m > 0 THEN round(greatest(1, dz / 0.05 / m), 6) END AS development, CASE WHEN m > 0 THEN greatest(1, dz / 0.05 / m) <= 2 + 2e-9 END AS passes FROM d""")
+  SELECT od_id, start, target, round(m, 5) AS distance_m, dz AS dz_m, round(100 * dz / nullif(m, 0), 6) AS gradient_percent, round(dz / 0.05, 6) AS least_length_m, round(dz / 0.05 / nullif(m, 0), 6) AS development, 100 * dz / nullif(m, 0) <= 5 AS passes FROM d""")
 def grade_screen(spark, sf_dir):
     cells = bind.part_grid(spark, sf_dir)
     found = checks.screen_grade(bind.od_pairs(cells), cells, 10.0, 5.0)
-    return found.select("od_id", "start", "target", F.round("distance_m", 5).alias("distance_m"), "dz_m", r6("development").alias("development"), "passes")
+    return found.select("od_id", "start", "target", F.round("distance_m", 5).alias("distance_m"), "dz_m", *[r6(c).alias(c) for c in ("gradient_percent", "least_length_m", "development")], "passes")
 
 
 # -- statistics -------------------------------------------------------------------------------------------------------------
@@ -795,7 +855,7 @@ def grade_certificates(spark, sf_dir):
     cells = bind.part_grid(spark, sf_dir)
     pairs = graph.cut_lineage(bind.od_pairs(cells).withColumn("terrain_id", F.lit("part")))
     edges = graph.with_cost(graph.grid_edges(cells), "length")
-    return search.certify(pairs, edges, cells, 1.0, 1200.0).select("od_id", "verdict", r6("development").alias("development"))
+    return search.certify(pairs, edges, cells, 1.0, 1200.0).select("od_id", "verdict", r6("development").alias("development"), "edges_kept", "edges_total", "witness_i_max_percent")
 
 
 # -- data behind the figures ------------------------------------------------------------------------------------------------
@@ -839,31 +899,129 @@ def figure_violations(spark, sf_dir):
     return rows.filter("bad").groupBy("path_id", "name", "run").agg(F.min("k").alias("k_start"), F.max("k").alias("k_end"))
 
 
-# -- published tables: a grouped query each, from one list ------------------------------------------------------------------
+# -- protocol rows, nested results, timings -----------------------------------------------------------------------------------
+
+
+STUDY = """study AS (SELECT o_orderkey AS row_no, o_orderkey % 5 <> 0 AS od_protocol, CASE o_custkey % 4 WHEN 0 THEN 'SYNTHETIC_A' WHEN 1 THEN '' ELSE 'STAS863_V' || CAST(o_custkey % 4 AS VARCHAR) END AS road_class, CAST(o_orderkey % 3 AS INT) AS algorithm_1_iterations,
+  CASE o_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'gone' WHEN 2 THEN 'hag_cta' ELSE 'full_grid' END AS search_space, CASE o_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'shared_border' ELSE 'old' END AS hag_edge_cost FROM orders)"""
+
+
+def _study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    road = F.when(c % 4 == 0, "SYNTHETIC_A").when(c % 4 == 1, "").otherwise(F.concat(F.lit("STAS863_V"), (c % 4).cast("string")))
+    space = F.when(c % 5 == 1, "gone").when(c % 5 == 2, "hag_cta").when(c % 5 > 2, "full_grid")
+    edge = F.when(c % 3 == 0, "").when(c % 3 == 1, "shared_border").otherwise("old")
+    return bind.table(spark, sf_dir, "orders").select(k.alias("row_no"), (k % 5 != 0).alias("od_protocol"), road.alias("road_class"), (k % 3).cast("int").alias("algorithm_1_iterations"), space.alias("search_space"), edge.alias("hag_edge_cost"))
+
+
+@query(f"WITH {STUDY} SELECT row_no, road_class FROM study WHERE od_protocol AND NOT starts_with(road_class, 'SYNTHETIC')")
+def protocol_rows(spark, sf_dir):
+    return stats.protocol_rows(_study(spark, sf_dir)).select("row_no", "road_class")
+
 
-#: table -> (group column, measures). The tables of the studies differ in their groups and measures only; rows are the bound result rows.
-TABLE_SPECS = {
-    "terrains": ("line", ("nodes",)), "classes": ("scenario_class", ("nodes", "cents")), "search_cost": ("arm", ("n_lines",)), "quality": ("arm", ("cents",)), "engineering": ("scenario_class", ("line",)), "smoothing": ("line", ("cents",)),
-    "gradient": ("scenario_class", ("n_lines", "nodes")), "by_cell": ("cell", ("nodes", "cents")), "by_terrain": ("scenario_class", ("nodes", "n_lines", "cents")), "by_distance": ("band", ("nodes", "n_lines")), "by_interval": ("cell", ("n_lines",)), "by_cost": ("band", ("cents",)), "baseline_kinds": ("arm", ("nodes", "cents", "n_lines")),
-}
-_DERIVED = {"scenario_class": "scenario % 5", "cell": "scenario % 7", "band": "n_lines % 4", "line": "line", "arm": "arm"}
+@query(f"WITH {STUDY} SELECT row_no, road_class, algorithm_1_iterations FROM study WHERE od_protocol AND NOT starts_with(road_class, 'SYNTHETIC') AND road_class <> '' AND algorithm_1_iterations = 1")
+def population_geometry(spark, sf_dir):
+    return stats.population_geometry(_study(spark, sf_dir)).select("row_no", "road_class", "algorithm_1_iterations")
 
 
-def _published(name: str) -> None:
-    group, measures = TABLE_SPECS[name]
-    parts = ", ".join(f"round(avg({m}), 5) AS {m}_mean, round(stddev_samp({m}), 5) AS {m}_sd, median({m}) AS {m}_median" for m in measures)
-    sql = f"{ROWS} SELECT CAST({_DERIVED[group]} AS VARCHAR) AS grp, arm AS space, count(*) AS n, {parts} FROM results GROUP BY 1, 2"
+@query(f"WITH {STUDY} SELECT row_no, search_space, hag_edge_cost FROM study WHERE (search_space IS NULL OR search_space IN ('full_grid', 'hag_cta')) AND hag_edge_cost IN ('', 'shared_border')")
+def reported_rows(spark, sf_dir):
+    return stats.reported_rows(_study(spark, sf_dir), ["full_grid", "hag_cta"], ["shared_border"]).select("row_no", "search_space", "hag_edge_cost")
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = bind.result_rows(spark, sf_dir).withColumn("grp", F.expr(_DERIVED[group]).cast("string"))
-        out = [F.count("*").alias("n")]
-        for m in measures:
-            out += [F.round(F.avg(m), 5).alias(f"{m}_mean"), F.round(F.stddev_samp(m), 5).alias(f"{m}_sd"), F.median(m).alias(f"{m}_median")]
-        return rows.groupBy("grp", F.col("arm").alias("space")).agg(*out)
 
-    run.__name__ = f"table_{name}"
-    query(sql)(run)
+@query(f"{ROWS} SELECT scenario, " + ", ".join(f"max(CASE WHEN arm = '{a}' THEN {v} END) AS {v}_{a}" for a in "ANR" for v in ("nodes", "cents")) + " FROM results GROUP BY 1")
+def pivot_by_arm(spark, sf_dir):
+    return stats.by_arm(bind.result_rows(spark, sf_dir), ["scenario"], "arm", ["A", "N", "R"], ["nodes", "cents"])
 
 
-for _name in TABLE_SPECS:
-    _published(_name)
+@query("SELECT user_id, event_type, median(v) AS median, min(v) AS min, max(v) AS max, count(*) AS repeats FROM (SELECT user_id, event_type, floor(value * 100) AS v FROM events) GROUP BY 1, 2")
+def repeated_timings(spark, sf_dir):
+    rows = bind.table(spark, sf_dir, "events").select("user_id", "event_type", F.floor(F.col("value") * 100).cast("double").alias("v"))
+    return stats.timings(rows, ["user_id", "event_type"], "v")
+
+
+@query(f"""{ROWS}, g AS (SELECT scenario, arm, nodes, unnest(range(0, greatest(n_lines - 1, 0))) AS k FROM results)
+  SELECT scenario AS scenario_id, arm, nodes, 'C' || CAST(k % 2 AS VARCHAR) AS road_class, CAST(k // 2 + 1 AS INT) AS iterations, CAST(nodes * (k + 1) AS BIGINT) AS score FROM g UNION ALL SELECT scenario, arm, nodes, '', 0, NULL FROM results WHERE n_lines <= 1""")
+def scenario_rows(spark, sf_dir):
+    rows = bind.result_rows(spark, sf_dir)
+    k = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_lines") - 2, F.lit(0)))
+    geometry = F.transform(k, lambda x: F.struct(F.concat(F.lit("C"), (x % 2).cast("string")).alias("road_class"), (F.floor(x / 2) + 1).cast("int").alias("iterations"), (F.col("nodes") * (x + 1)).cast("long").alias("score")))
+    pairs = rows.groupBy(F.col("scenario").alias("scenario_id")).agg(
+        F.map_from_entries(F.collect_list(F.struct("arm", F.struct("nodes")))).alias("arms"),
+        F.map_from_entries(F.collect_list(F.when(F.col("n_lines") > 1, F.struct(F.col("arm"), geometry)))).alias("geometry"),
+    )
+    return stats.flatten_scenarios(pairs).select("scenario_id", "arm", "nodes", "road_class", "iterations", "score")
+
+
+@query(f"WITH {STUDY}, r AS (SELECT row_no, search_space, CASE row_no % 7 WHEN 0 THEN 'height' WHEN 1 THEN 'gradcut' WHEN 2 THEN 'weighted_h1_l1' ELSE 'climb' END AS cost, CASE row_no % 3 WHEN 0 THEN 'hag_yellow' WHEN 1 THEN 'hag_yellow_k1' ELSE 'hag_x' END AS space FROM study) SELECT row_no, CASE space WHEN 'hag_yellow' THEN 'hag_cta' WHEN 'hag_yellow_k1' THEN 'hag_cta_ring1' ELSE space END AS search_space, CASE WHEN space <> 'hag_x' THEN 'shared_border' END AS hag_edge_cost, CASE cost WHEN 'height' THEN 'climb' WHEN 'gradcut' THEN 'climb_gradient_cut' WHEN 'weighted_h1_l1' THEN 'climb_plus_length' ELSE cost END AS edge_cost FROM r")
+def legacy_names(spark, sf_dir):
+    n = F.col("row_no")
+    cost = F.when(n % 7 == 0, "height").when(n % 7 == 1, "gradcut").when(n % 7 == 2, "weighted_h1_l1").otherwise("climb")
+    space = F.when(n % 3 == 0, "hag_yellow").when(n % 3 == 1, "hag_yellow_k1").otherwise("hag_x")
+    return _study(spark, sf_dir).select("row_no", costs.current_names(space, cost).alias("c")).select("row_no", "c.*")
+
+
+# -- published tables ---------------------------------------------------------------------------------------------------------
+
+
+RUNS = """runs AS (SELECT l_partkey AS scenario, CASE l_returnflag WHEN 'A' THEN 'full' WHEN 'N' THEN 'cta' ELSE 'ring' END AS arm, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS objective, CAST(sum(l_linenumber) * 10 AS DOUBLE) AS length_m, CAST(count(*) AS DOUBLE) / 8 AS search_s, CAST(max(l_linenumber) AS DOUBLE) / 4 AS build_s,
+  CAST(sum(l_suppkey) AS DOUBLE) AS nodes, CAST(min(l_orderkey) % 97 AS DOUBLE) AS space_percent, CAST(max(l_orderkey) % 53 AS DOUBLE) AS hausdorff_m FROM lineitem GROUP BY 1, 2)"""
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arm = F.when(F.col("l_returnflag") == "A", "full").when(F.col("l_returnflag") == "N", "cta").otherwise("ring")
+    total = lambda c: F.sum(F.col(c).cast("long")).cast("double")
+    return bind.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("scenario"), arm.alias("arm")).agg(
+        total("l_quantity").alias("objective"), (total("l_linenumber") * 10).alias("length_m"), (F.count("*") / 8).alias("search_s"), (F.max("l_linenumber") / 4).alias("build_s"), total("l_suppkey").alias("nodes"),
+        (F.min("l_orderkey") % 97).cast("double").alias("space_percent"), (F.max("l_orderkey") % 53).cast("double").alias("hausdorff_m"),
+    )
+
+
+def _mean_sd(name: str, value: str) -> str:
+    return f"round(avg({value}), 5) AS {name}_mean, round(stddev_samp({value}), 5) AS {name}_sd"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    """Doubles to five places, as the tables' SQL gives them."""
+    return df.select(*[F.round(f.name, 5).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema])
+
+
+@query(f"""WITH {RUNS}, b AS (SELECT r.*, f.search_s AS base FROM runs r LEFT JOIN runs f ON f.scenario = r.scenario AND f.arm = 'full'), s AS (SELECT *, CASE WHEN arm <> 'full' THEN 100 * (1 - search_s / base) END AS saved, CASE WHEN arm <> 'full' THEN 100 * (1 - (search_s + build_s) / base) END AS built FROM b)
+  SELECT arm, count(*) AS n, {_mean_sd("space_percent", "space_percent")}, {_mean_sd("nodes", "nodes")}, {_mean_sd("search_ms", "1000 * search_s")}, {_mean_sd("saved_percent", "saved")}, {_mean_sd("saved_with_build_percent", "built")} FROM s GROUP BY 1""")
+def table_search_cost(spark, sf_dir):
+    return _rounded(tables.search_cost(_runs(spark, sf_dir), ["scenario"]))
+
+
+@query(f"""WITH {RUNS}, b AS (SELECT r.arm, r.hausdorff_m, r.objective - f.objective AS d, r.length_m / f.length_m AS l, CASE WHEN f.objective >= 25 THEN r.objective / f.objective END AS q FROM runs r JOIN runs f ON f.scenario = r.scenario AND f.arm = 'full' WHERE r.arm <> 'full')
+  SELECT arm, count(*) AS n, count(q) AS n_ratio, {_mean_sd("objective_ratio", "q")}, {_mean_sd("objective_difference", "d")}, {_mean_sd("length_ratio", "l")}, {_mean_sd("hausdorff_m", "hausdorff_m")} FROM b GROUP BY 1""")
+def table_quality(spark, sf_dir):
+    return _rounded(tables.quality(_runs(spark, sf_dir), ["scenario"]))
+
+
+CHECKED_RUNS = """judged AS (SELECT 'C' || CAST(o_custkey % 6 AS VARCHAR) AS road_class, CASE o_orderkey % 3 WHEN 0 THEN 'plain' WHEN 1 THEN 'cut' ELSE 'pen' END AS arm, CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey % 13 > 2 END AS path_found, CASE WHEN o_orderkey % 10 > 0 THEN o_custkey % 7 > 2 END AS r_min_passed,
+  o_orderkey % 5 > 1 AS i_max_passed, o_custkey % 7 > 2 AND o_orderkey % 5 > 1 AS feasible, o_orderkey % 17 = 0 AS made_worse, o_orderkey % 23 = 0 AS degenerate, o_orderkey % 4 = 0 AS smoothing_rejected, CAST(o_orderkey % 19 AS DOUBLE) AS rough_i_max, CAST(o_orderkey % 15 AS DOUBLE) AS retained_i_max FROM orders)"""
+
+
+def _checked_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    arm = F.when(k % 3 == 0, "plain").when(k % 3 == 1, "cut").otherwise("pen")
+    return bind.table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("C"), (c % 6).cast("string")).alias("road_class"), arm.alias("arm"), F.when(k % 11 > 0, k % 13 > 2).alias("path_found"), F.when(k % 10 > 0, c % 7 > 2).alias("r_min_passed"),
+        (k % 5 > 1).alias("i_max_passed"), ((c % 7 > 2) & (k % 5 > 1)).alias("feasible"), (k % 17 == 0).alias("made_worse"), (k % 23 == 0).alias("degenerate"), (k % 4 == 0).alias("smoothing_rejected"), (k % 19).cast("double").alias("rough_i_max"), (k % 15).cast("double").alias("retained_i_max"),
+    )
+
+
+@query(f"WITH {CHECKED_RUNS} SELECT road_class, count(*) AS n, " + ", ".join(f"count(CASE WHEN {f} THEN 1 END) AS {f}, round(100 * count(CASE WHEN {f} THEN 1 END) / count(*), 5) AS {f}_percent" for f in ("r_min_passed", "i_max_passed", "feasible", "made_worse", "degenerate")) + " FROM judged GROUP BY 1")
+def table_engineering(spark, sf_dir):
+    return _rounded(tables.engineering(_checked_runs(spark, sf_dir)))
+
+
+@query(f"WITH {CHECKED_RUNS}, f AS (SELECT *, coalesce(path_found, FALSE) AS ok FROM judged) SELECT road_class, arm, count(*) AS n, count(CASE WHEN ok THEN 1 END) AS n_found, " + ", ".join(f"count(CASE WHEN ok AND {f} THEN 1 END) AS {f}" for f in ("i_max_passed", "r_min_passed", "feasible", "smoothing_rejected")) + f", {_mean_sd('rough_i_max', 'CASE WHEN ok THEN rough_i_max END')}, {_mean_sd('retained_i_max', 'CASE WHEN ok THEN retained_i_max END')} FROM f GROUP BY 1, 2")
+def table_gradient(spark, sf_dir):
+    return _rounded(tables.gradient(_checked_runs(spark, sf_dir)))
+
+
+@query(f"{PART_AREAS} SELECT min(z) AS low_m, max(z) AS high_m, count(*) AS n_cells, count(DISTINCT area_id) AS n_areas FROM labelled")
+def table_terrains(spark, sf_dir):
+    cells = bind.part_grid(spark, sf_dir)
+    return tables.terrains(cells, graph.height_areas(cells, 10)).select("low_m", "high_m", "n_cells", "n_areas")

@@ -116,7 +116,10 @@ def test_costs_refuse_what_is_no_price(spark):
         costs.get("nothing")
     for name in costs.available():
         costs.probe(spark, name)
-    assert costs.grid_edge_cost("height_cut", 7.0)[1] == 7.0
+    assert costs.grid_edge_cost("climb_gradient_cut", 7.0)[1] == 7.0 and costs.grid_edge_cost("climb")[0] is costs.get("height")
+    for name in ("climb_gradient_penalty", "unknown"):
+        with pytest.raises(costs.InvalidCostModel):
+            costs.grid_edge_cost(name)
 
 
 def points_of(spark, xyz, path=1):
@@ -271,8 +274,10 @@ def test_selection_share_and_pairs(spark):
     assert [r["od_id"] for r in found.orderBy("od_id").collect()] == [0, 1]
     steep = searches.certify(pairs, priced, cells, 10.0, 1.0).collect()
     assert {r["verdict"] for r in steep} == {"no_way"}
-    chosen = searches.first_or_reference(pairs, sampling.reference_pair(cells)).first()
+    chosen = searches.first_or_reference(pairs, sampling.reference_pair(cells, 20, 20)).first()
     assert (chosen["start"], chosen["target"], chosen["screened"]) == (0, 399, True)
+    fixed = sampling.reference_pair(cells, 20, 20).first()
+    assert (fixed["start"], fixed["target"], fixed["od_protocol"]) == (5 * 20 + 5, 14 * 20 + 14, False)
 
 
 def test_windows_and_grids_of_a_raster(spark):
@@ -323,3 +328,88 @@ def test_border_arcs_equal_flooding(spark):
                 front += near
             expect |= {(a, b, i * 5 + j, min(x * 5 + y for x, y in arc)) for i, j in arc}
     assert {tuple(r) for r in graph.boundary_components(labelled, 4).select("a", "b", "node", "arc").collect()} == expect
+
+
+def test_chains_of_short_lines_lose_their_inner_points():
+    zigzag = np.array([[0, 0], [1, 0.2], [2, -0.1], [3, 0.1], [20, 0], [20, 30], [21, 30.5], [50, 30]], dtype=float)
+    assert runs.thin(zigzag, 1.0).tolist() == [[0, 0], [20, 0], [20, 30], [50, 30]]
+    assert runs.thin(zigzag, 0.01).tolist() == zigzag.tolist()
+
+
+def test_screen_passes_the_straight_gradient_alone(spark):
+    cells = cells_of(spark, np.add.outer(np.arange(12) * 0.8, np.zeros(12)))
+    pairs = spark.createDataFrame([(0, 0, 132), (1, 0, 11), (2, 5, 5)], "od_id long, start long, target long")
+    found = {r["od_id"]: r for r in checks.screen_grade(pairs, cells, 10.0, 5.0).collect()}
+    assert not found[0]["passes"] and found[0]["gradient_percent"] == pytest.approx(8.0) and found[0]["development"] == pytest.approx(1.6)
+    assert found[1]["passes"] and found[2]["passes"] is None
+
+
+def test_protocol_charges_each_rejection_once(spark):
+    z = np.add.outer(np.arange(60), np.zeros(30))
+    cells = cells_of(spark, z)
+    labelled = graph.cut_lineage(graph.height_areas(cells, 3))
+    edges = graph.cut_lineage(graph.area_edges(labelled))
+    drawn = sampling.draw(60, 30, 1007)
+    assert drawn.min() == 5 and drawn.max() == 24
+    area = {(r["i"], r["j"]): r["area_id"] for r in labelled.collect()}
+    rows, rejected = [], dict.fromkeys(sampling.CRITERIA, 0)
+    for a, b, c, d in drawn[:400].tolist():
+        x, y = area[(a, b)], area[(c, d)]
+        if np.hypot(a - c, b - d) < 0.3 * np.hypot(60, 30):
+            rejected["too_short"] += 1
+        elif x == y:
+            rejected["same_height_area"] += 1
+        elif abs(x - y) < 3:
+            rejected["hops_below_min"] += 1
+        elif x in {r[0] for r in rows}:
+            rejected["duplicate_start_area"] += 1
+        elif y in {r[1] for r in rows}:
+            rejected["duplicate_target_area"] += 1
+        else:
+            rows.append((x, y))
+    got = sampling.sample_pairs(labelled, edges, 60, 30, 1007, n_pairs=99, candidates=400, diagonal=0.3, strict=False).collect()
+    counts = next(r for r in got if r["od_id"] is None)
+    assert [(r["area_start"], r["area_target"]) for r in sorted((r for r in got if r["od_id"]), key=lambda r: r["od_id"])] == rows and len(rows) > 1
+    assert {c: counts[f"rejected_{c}"] for c in sampling.CRITERIA} == rejected and counts["drawn"] == 400
+    with pytest.raises(Exception, match="TooFewPairs"):
+        sampling.sample_pairs(labelled, edges, 60, 30, 1007, n_pairs=99, candidates=400).collect()
+    with pytest.raises(sampling.TooFewPairs):
+        sampling.box(10, 40)
+
+
+def test_query_pairs_are_half_a_side_apart():
+    found = sampling.query_pairs(50, 40, 30, 3)
+    assert found.shape == (50, 4) and (np.hypot(found[:, 0] - found[:, 2], found[:, 1] - found[:, 3]) >= 15).all() and (found == sampling.query_pairs(50, 40, 30, 3)).all()
+
+
+def test_searches_count_lone_cells_and_refuse_negative_weights(spark):
+    z = np.zeros((3, 5))
+    ok = np.ones((3, 5), dtype=bool)
+    ok[:, 3] = False
+    ok[1:, 4] = False  # a lone cell in the corner
+    cells = cells_of(spark, z, ok).filter("valid")
+    edges = graph.cut_lineage(graph.with_cost(graph.grid_edges(cells), "length"))
+    pairs = spark.createDataFrame([("t", 0, 0, 12), ("t", 1, 4, 4), ("t", 2, 0, 4), ("t", 3, 3, 3)], "terrain_id string, od_id long, start long, target long")
+    found = {r["od_id"]: r for r in searches.searches(edges, pairs, cells).collect()}
+    assert [found[k]["path_found"] for k in range(4)] == [True, True, False, False] and {r["n_nodes"] for r in found.values()} == {10}
+    assert found[1]["cost"] == 0.0 and found[1]["n_path_nodes"] == 1
+    with pytest.raises(Exception, match="InvalidCostModel"):
+        searches.searches(edges.withColumn("weight", -F.col("weight")), pairs).collect()
+
+
+def test_certificates_name_their_witness(spark):
+    cells = cells_of(spark, np.add.outer(np.arange(20) * 0.5, np.zeros(20)))
+    edges = graph.cut_lineage(graph.with_cost(graph.grid_edges(cells, 10.0), "length"))
+    pairs = spark.createDataFrame([("t", 0, 0, 380)], "terrain_id string, od_id long, start long, target long")
+    row = searches.certify(pairs, edges, cells, 10.0, 5.0).first()
+    assert row["verdict"] == "feasible" and row["witness_i_max_percent"] == pytest.approx(5.0) and row["length_m"] == pytest.approx(190.0) and row["edges_kept"] == row["edges_total"]
+    gone = searches.certify(pairs, edges, cells, 10.0, 1.0).first()
+    assert gone["verdict"] == "no_way" and not gone["reachable"] and 0 < gone["edge_keep_share"] < 1
+
+
+def test_selection_descriptors(spark):
+    labelled = graph.cut_lineage(graph.height_areas(cells_of(spark, BANDS), 1))
+    chain = spark.createDataFrame([("t", 0, 0, 0), ("t", 0, 1, 1)], "terrain_id string, od_id long, seq int, area_id long")
+    row = graph.describe_selection(chain, chain.select("terrain_id", "od_id", "area_id"), labelled, 10.0).first()
+    sizes = {r["area_id"]: r["area_size"] for r in graph.area_table(labelled).collect()}
+    assert (row["hops"], row["n_areas"], row["n_cells"], row["narrowest_m"]) == (1, 2, sizes[0] + sizes[1], 20.0)
