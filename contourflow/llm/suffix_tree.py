@@ -1,248 +1,399 @@
-"""Language-model scores by a probabilistic suffix tree over the tokens of a text.
+"""Language-model scores by a probabilistic suffix tree over the tokens of a text, counted and kept as a distributed table.
 
-The tree's symbols are the frequent tokens (each at least LEAST_TOKEN of all), the end of a text, and one symbol for all rare tokens,
-within which a token has its discounted share and all unknown tokens together have the discounts' sum. So the symbols are
-at most 1 / LEAST_TOKEN, whatever the corpus, while counts of every token and of every symbol after every context are gathered from all training
-texts. A context stays in the tree if it is frequent and its next-symbol distribution diverges from that of its shorter context by more than
-its own size would explain. A distribution is smoothed towards that of the longest shorter context in the tree. A text is scored
-from the longest suffix of what was read that the tree holds.
+The tree's symbols are all tokens, the end of a text and a mark before its start. A context of d symbols is a node if it occurs twice or more and its
+next-symbol distribution diverges from that of its longest shorter context by more than it costs to write down: the gain in log likelihood exceeds
+half the logarithm of the number of tokens read for each of its different next symbols. A node's distribution is smoothed towards the shorter context's, and a text is scored from the longest suffix of what was
+read that the tree holds. No share of the corpus, no number of nodes and no vocabulary bounds the tree: it grows with what is read.
 
-Beside it stands an add-one unigram model of the tokens; both give one probability to every known token and one to all unknown ones.
+Documents are dealt into blocks, written once as codes of their tokens. Level by level a block sends the distinct (context, symbol) counts of its texts,
+only after contexts that the level before has found twice, as packed arrays to the ranges of contexts that they belong to; a range adds up
+what all blocks send, tests its contexts and sends each block the totals of what it asked for, held-out texts included. So counts meet in ranges of bounded size,
+totals lie beside their block in the shared folder, and no table of rows is joined to the texts. A context whose count exceeds HOT is
+dealt over several ranges by its next symbols; each range gives its part of the test.
+
+Level 0 is the add-one unigram model; both models give one probability to every known token of a count and one to all unknown ones.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from contourflow.llm.common import broadcast, fold, materialize, partitions, utf8
+import pyarrow.fs as pafs
+import xxhash
+import zstandard
+from contourflow.llm.common import fold, materialize, partitions, shared_path, utf8
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DEPTH = 2
-MOST_DEPTH = 3  # four symbols of BITS bits in a long
-BITS = 15
-END, RARE = 0, 1
+DEPTH = 3
 END_TOKEN = b" "  # no word holds white space
-#: Least share of a frequent token, of a context and of a (context, symbol) count that is kept: each bounds the number of its kind by its reciprocal.
-LEAST_TOKEN = 1 / 32_000
-LEAST_CONTEXT = 1e-6
-LEAST_PAIR = 1e-6
-#: Least divergence of a context, in nats a position of the corpus.
-LEAST_DIVERGENCE = 1e-8
-BLOCK_BYTES = 6 << 20
+START = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text in a block, and tokens whose counts a range takes, about.
+BLOCK_BYTES = 16 << 20
+RANGE_TOKENS, LEAST_RANGE_TOKENS = 2_500_000, 250_000
+#: Occurrences from which a context is dealt over several ranges.
+HOT = 1 << 20
+#: Bits of a context's hash.
+BITS = 48
 
+BLOCKS = "block string, tokens long, ids array<string>, learn array<boolean>, lengths array<int>, hashes binary, codes binary"
+SENT = "r int, block string, contexts binary, kinds binary, symbols binary, counts binary, sums binary, hot binary"
+BACK = "r int, block string, counts binary, kinds binary, gains binary, total long, distinct long"
 
-@dataclass
-class Tree:
-    """symbols: frequent token -> symbol; chance: each symbol's share; levels[d - 1]: the contexts of d symbols.
 
-    rare: what all rare tokens' counts sum to, plus one; discount: what each rare token's count gives to the unknown ones, which hold
-    `unknown` of the rare symbol's share.
-    """
+def pack(a: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+
+
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(data)), dtype=kind)
+
+
+def pack_sorted(a: np.ndarray) -> bytes:
+    """Ascending numbers by their steps, in four bytes each where that is enough."""
+    steps = np.diff(a, prepend=np.uint64(0)).astype(np.uint64)
+    narrow = not len(steps) or int(steps.max()) < 1 << 32
+    return (b"4" if narrow else b"8") + steps.astype(np.uint32 if narrow else np.uint64).tobytes()
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    data = bytes(data)
+    return np.cumsum(np.frombuffer(data, dtype=np.uint32 if data[:1] == b"4" else np.uint64, offset=1).astype(np.uint64), dtype=np.uint64)
 
-    symbols: dict[bytes, int]
-    chance: np.ndarray
-    rare: float
-    discount: float
-    unknown: float
-    levels: list[dict[str, np.ndarray]] = field(default_factory=list)
-
-    def encode(self, tokens: list[bytes]) -> list[int]:
-        of = self.symbols.get
-        return [of(t, RARE) for t in tokens]
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 chance of each key's last symbol after those before it."""
-        symbol = keys & ((1 << BITS) - 1)
-        p = self.chance[symbol]
-        for d, level in enumerate(self.levels, 1):
-            contexts, pairs = level["contexts"], level["pairs"]
-            if not len(contexts):
-                continue
-            key = keys & ((1 << (BITS * (d + 1))) - 1)
-            context = key >> BITS
-            at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
-            held = np.flatnonzero(contexts[at] == context)
-            at, key = at[held], key[held]
-            pair = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-            n = np.where(pairs[pair] == key, level["n"][pair], 0)
-            p[held] = (n + level["back"][at] * p[held]) / level["whole"][at]
-        return np.log10(p)
-
-    def within(self, count: int) -> float:
-        """log10 share of a rare or unknown (count 0) token in the rare symbol."""
-        return float(np.log10((count - self.discount) / self.rare if count else self.unknown))
-
-
-def keys_of(encoded: list[list[int]], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """Packed (context, symbol) of every position of the texts and their ends, and each text's number of positions."""
-    if not encoded:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    lengths = np.array([len(t) + 1 for t in encoded], dtype=np.int64)
-    total = int(lengths.sum()) + depth * len(encoded)
-    row = np.zeros(total + depth, dtype=np.int64)
-    begins = depth + np.concatenate([[0], np.cumsum(lengths + depth)[:-1]])
-    own = np.zeros(total + 1, dtype=np.int64)
-    own[begins] += 1
-    ends = begins + lengths
-    own[ends[ends <= total]] -= 1
-    own = np.cumsum(own[:total]) > 0
-    flat = np.fromiter((s for t in encoded for s in (*t, END)), dtype=np.int64, count=int(lengths.sum()))
-    row[:total][own] = flat
-    keys = np.zeros(total - depth, dtype=np.int64)
-    for k in range(depth + 1):
-        keys = (keys << BITS) | row[k : total - depth + k]
-    return keys[own[depth:]], lengths
-
-
-def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of one block after another: its distinct tokens with their training counts."""
-
-    def close(block: int, seen: Counter, words: set) -> pd.DataFrame:
-        tokens = list(words)
-        return pd.DataFrame({"block": block, "token": tokens, "n": [seen[t] for t in tokens]}).astype({"block": "int64", "n": "int64"})
-
-    at, seen, words = None, Counter(), set()
-    for pdf in batches:
-        for block, data, learn in zip(pdf["block"].tolist(), pdf["data"], pdf["learn"].tolist(), strict=True):
-            if block != at:
-                if at is not None:
-                    yield close(at, seen, words)
-                at, seen, words = block, Counter(), {END_TOKEN}
-            tokens = data.lower().split()
-            if learn:
-                seen.update(tokens)
-                seen[END_TOKEN] += 1
-            words.update(tokens)
-    if at is not None:
-        yield close(at, seen, words)
-
-
-def fit(texts: DataFrame, counts: DataFrame, depth: int = DEPTH) -> tuple[Tree, int, int]:
-    """The tree, the number of training tokens and that of distinct ones. texts: data of training texts; counts: (token, c), one row a token."""
-    if not 0 <= depth <= MOST_DEPTH:
-        raise ValueError(f"depth {depth} is not within 0..{MOST_DEPTH}")
-    c = F.col("c")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = counts.filter((c >= F.lit(LEAST_TOKEN * total)) & (F.col("token") != F.lit(END_TOKEN))).select("token", "c").collect()
-    frequent.sort(key=lambda r: (-r["c"], bytes(r["token"])))
-    symbols = {bytes(r["token"]): k for k, r in enumerate(frequent, 2)} | {END_TOKEN: END}
-    ends = counts.filter(F.col("token") == F.lit(END_TOKEN)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    rare = total - ends - sum(r["c"] for r in frequent)
-    n_rare, ones, twos = counts.filter((c < F.lit(LEAST_TOKEN * total)) & (F.col("token") != F.lit(END_TOKEN))).agg(F.count("*"), F.count_if(c == 1), F.count_if(c == 2)).first()
-    discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-    chance = np.array([ends, rare + 1, *(r["c"] for r in frequent)], dtype=np.float64)
-    chance = np.maximum(chance, 1e-9) / (total + 1)
-    tree = Tree(symbols, chance, rare + 1.0, discount, (discount * n_rare + 1) / (rare + 1))
-
-    shared = broadcast(texts.sparkSession, tree)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, held, size = shared(), [], 0
-
-        def merge() -> tuple[np.ndarray, np.ndarray]:
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+
+def mixed(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """A hash of two 64-bit hashes, in their order."""
+    x = (a ^ (b * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0x9E3779B185EBCA87)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x165667B19E3779F9)
+    return x ^ (x >> np.uint64(32))
+
+
+@dataclass
+class Layout:
+    """What a block asks of a level: positions, each one's item and context, items sorted by (context, symbol), and the hot contexts' parts."""
+
+    at: np.ndarray
+    item: np.ndarray
+    owner: np.ndarray
+    contexts: np.ndarray
+    kinds: np.ndarray
+    symbols: np.ndarray
+    hot: np.ndarray
+    part_of: np.ndarray
+    part_at: np.ndarray
+    hot_of: np.ndarray
+
+
+class Block:
+    """The texts of a block as one array of symbols, each text's after its start mark; positions are those of tokens and ends."""
+
+    def __init__(self, lengths: np.ndarray, learn: np.ndarray, hashes: np.ndarray, codes: np.ndarray) -> None:
+        self.lengths, self.hashes, self.codes = lengths, hashes, codes
+        starts = np.cumsum(lengths + 1) - lengths - 1
+        inside = np.ones(len(codes) + len(lengths), dtype=bool)
+        inside[starts] = False
+        self.symbols = np.empty(len(inside), dtype=np.uint64)
+        self.symbols[starts] = START
+        self.places = np.flatnonzero(inside)
+        self.symbols[self.places] = hashes[codes]
+        self.starts = starts
+        self.depth = (self.places - np.repeat(starts, lengths)).astype(np.int64)
+        self.learn = np.repeat(learn, lengths)
+
+    def layout(self, d: int, whole: np.ndarray, hot_from: int) -> Layout:
+        """For contexts of d symbols; whole: how often the context before each position occurs."""
+        at = np.flatnonzero((whole >= 2) & (self.depth >= d))
+        places = self.places[at]
+        context = np.full(len(at), np.uint64(d), dtype=np.uint64)
+        for k in range(1, d + 1):
+            context = mixed(context, self.symbols[places - k])
+        symbol = (mixed(self.symbols[places], np.uint64(1)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        parts = (-(-whole[at] // hot_from)).astype(np.int64)
+        hot_at = np.flatnonzero(parts > 1)
+        named, first, hot_of = np.unique(context[hot_at], return_index=True, return_inverse=True)
+        n_parts = parts[hot_at][first]
+        part_of = np.repeat(np.arange(len(named)), n_parts)
+        part = np.arange(len(part_of)) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts)
+        shift = np.uint64(64 - BITS)
+        part_names = mixed(named[part_of], (part + 2).astype(np.uint64)) >> shift
+        context[hot_at] = mixed(context[hot_at], (symbol[hot_at] % parts[hot_at] + 2).astype(np.uint64))
+        context >>= shift
+        order = np.lexsort((symbol, context))
+        c, s = context[order], symbol[order]
+        new_context = np.diff(c, prepend=c[:1]) != 0
+        new_item = new_context | (np.diff(s, prepend=s[:1]) != 0)
+        if len(c):
+            new_context[0] = new_item[0] = True
+        item, owner = np.empty(len(at), dtype=np.int64), np.empty(len(at), dtype=np.int64)
+        item[order] = np.cumsum(new_item) - 1
+        own = c[new_context]
+        # A block that holds a hot context asks all of its parts, those without a symbol of its own too.
+        contexts = np.union1d(own, part_names)
+        owner[order] = np.searchsorted(contexts, own)[np.cumsum(new_context) - 1]
+        items_of = owner[order][new_item]
+        kinds = np.bincount(items_of, minlength=len(contexts)).astype(np.uint32)
+        part_at = np.searchsorted(contexts, part_names)
+        hot = np.zeros(len(contexts), dtype=np.uint8)
+        hot[part_at] = 1
+        all_hot = np.full(len(at), -1, dtype=np.int64)
+        all_hot[hot_at] = hot_of
+        return Layout(at, item, owner, contexts, kinds, s[new_item], hot, part_of, part_at, all_hot)
+
+    def climb(self, totals: list[dict], hot_from: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each position's probability by the levels whose totals are given, and how often the context for the level after them occurs before it."""
+        zero = totals[0]
+        counts = zero["counts"].astype(np.float64)
+        p = (counts + 1)[self.codes] / (zero["total"] + zero["distinct"] + 1)
+        seen = np.zeros(len(self.symbols))
+        seen[self.places] = counts[self.codes]
+        seen[self.starts] = zero["ends"]
+        for d, level in enumerate(totals[1:], 1):
+            whole = seen[self.places - 1]
+            own = self.layout(d, whole, hot_from)
+            n = level["counts"].astype(np.float64)[own.item]
+            kinds = level["kinds"].astype(np.float64)
+            size = kinds[own.owner]
+            if len(own.part_of):
+                gains = np.zeros(len(own.contexts))
+                gains[own.hot == 1] = level["gains"]
+                split = own.hot_of >= 0
+                n_hot = int(own.part_of.max()) + 1
+                both = [np.bincount(own.part_of, weights=x[own.part_at], minlength=n_hot) for x in (gains, kinds)]
+                most = whole[own.at][split]
+                gain, size_hot = both[0][own.hot_of[split]] - most * np.log(most), both[1][own.hot_of[split]]
+                size[split] = np.where(gain > size_hot * cost_of_kind(zero["total"]), size_hot, 0)
+            node = size > 0
+            at = own.at[node]
+            p[at] = (n[node] + size[node] * p[at]) / (whole[at] + size[node])
+            seen = np.zeros(len(self.symbols))
+            seen[self.places[own.at]] = n
+        return p, seen[self.places - 1]
+
+
+def cost_of_kind(total: float) -> float:
+    """Nats that a next symbol of a node must gain: half the logarithm of the number of tokens."""
+    return 0.5 * float(np.log(max(total, 1.0)))
+
+
+def add_up(rows: pd.DataFrame, total_tokens: int) -> pd.DataFrame:
+    """One range's totals for each block that asked: a level of contexts."""
+    contexts = [unpack_sorted(x) for x in rows["contexts"]]
+    kinds = [unpack(x, np.uint32).astype(np.int64) for x in rows["kinds"]]
+    symbols = [np.frombuffer(bytes(x), dtype=np.uint32) for x in rows["symbols"]]
+    hots = [unpack(x, np.uint8) == 1 for x in rows["hot"]]
+    names, of = np.unique(np.concatenate(contexts), return_inverse=True)
+    key = (np.repeat(of, np.concatenate(kinds)).astype(np.uint64) << np.uint64(32)) | np.concatenate(symbols)
+    items, item_of = np.unique(key, return_inverse=True)
+    n = np.bincount(item_of, weights=np.concatenate([unpack(x, np.uint32) for x in rows["counts"]]), minlength=len(items))
+    owner = (items >> np.uint64(32)).astype(np.int64)
+    total = lambda x, at: np.bincount(at, weights=x, minlength=len(names))
+    whole, size = total(n, owner), total(n > 0, owner)
+    gain = total(n * np.log(np.maximum(n, 1)), owner) - total(np.concatenate([np.frombuffer(bytes(x), dtype=np.float64) for x in rows["sums"]]), of)
+    hot = np.zeros(len(names), dtype=bool)
+    hot[of[np.concatenate(hots)]] = True
+    node = (whole >= 2) & (gain - whole * np.log(np.maximum(whole, 1)) > size * cost_of_kind(total_tokens))
+    size = np.where(hot | node, size, 0)
+    out, a, b = [], 0, 0
+    for r, block, c, s, h in zip(rows["r"], rows["block"], contexts, symbols, hots, strict=True):
+        mine = of[a : a + len(c)]
+        out.append((r, block, pack(n[item_of[b : b + len(s)]].astype(np.uint32)), pack(size[mine].astype(np.uint32)), gain[mine[h]].tobytes(), 0, 0))
+        a, b = a + len(c), b + len(s)
+    return pd.DataFrame(out, columns=[c.split()[0] for c in BACK.split(", ")])
+
+
+def add_up_tokens(rows: pd.DataFrame) -> pd.DataFrame:
+    """One range's totals of tokens for each block, with how many tokens it has in all and how many different ones."""
+    tokens = [unpack_sorted(x) for x in rows["contexts"]]
+    names, of = np.unique(np.concatenate(tokens), return_inverse=True)
+    n = np.bincount(of, weights=np.concatenate([unpack(x, np.uint32) for x in rows["counts"]]), minlength=len(names))
+    out, a = [], 0
+    for r, block, t in zip(rows["r"], rows["block"], tokens, strict=True):
+        out.append((r, block, pack(n[of[a : a + len(t)]].astype(np.uint64)), b"", b"", int(n.sum()), int((n > 0).sum())))
+        a += len(t)
+    return pd.DataFrame(out, columns=[c.split()[0] for c in BACK.split(", ")])
+
+
+def _save(where: pafs.FileSystem, path: str, arrays: dict[str, np.ndarray]) -> int:
+    """Write arrays under a temporary name and rename; a task that runs again replaces the file by its equal."""
+    temporary, size = f"{path}.{uuid.uuid4().hex}.tmp", 0
+    with where.open_output_stream(temporary, compression=None) as out:
+        for a in arrays.values():
+            data = pack(a)
+            out.write(len(data).to_bytes(8, "little") + data)
+            size += len(data) + 8
+    where.move(temporary, path)
+    return size
+
+
+def _load(where: pafs.FileSystem, path: str, kinds: dict[str, type]) -> dict[str, np.ndarray]:
+    with where.open_input_stream(path, compression=None) as source:
+        return {name: unpack(source.read(int.from_bytes(source.read(8), "little")), kind) for name, kind in kinds.items()}
+
+
+LEVEL = {"counts": np.uint32, "kinds": np.uint32, "gains": np.float64}
+TOKENS = {"counts": np.uint64, "totals": np.int64}
+
+
+def blocks_of(docs: DataFrame, id_col: str, text_col: str, held_out_of: int, held_out: int, block_bytes: int) -> DataFrame:
+    """Rows of BLOCKS: the documents of a partition in turn, a block as soon as it has block_bytes."""
+    learn = F.col(id_col).isNotNull() & (fold(F.col(id_col), held_out_of) != held_out)
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), utf8(text_col).alias("data"), learn.alias("learn"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, made = TaskContext.get().partitionId(), 0
+        code: defaultdict[bytes, int] = defaultdict()
+        code.default_factory = code.__len__
+        ids, learned, lengths, codes, size = [], [], [], [], 0
+
+        def close() -> pd.DataFrame:
+            nonlocal made, ids, learned, lengths, codes, size
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, code), dtype=np.uint64, count=len(code))
+            order = np.argsort(hashes)
+            place = np.empty(len(order), dtype=np.int32)
+            place[order] = np.arange(len(order))
+            row = (f"{task:06d}-{made:06d}", sum(lengths), ids, learned, lengths, hashes[order].tobytes(), pack(place[np.concatenate(codes)]))
+            made, ids, learned, lengths, codes, size = made + 1, [], [], [], [], 0
+            code.clear()
+            return pd.DataFrame([row], columns=[c.split()[0] for c in BLOCKS.split(", ")])
 
         for pdf in batches:
-            keys, _ = keys_of([own.encode(data.lower().split()) for data in pdf["data"]], depth)
-            held.append(np.unique(keys, return_counts=True))
-            size += len(held[-1][0])
-            if size > 4_000_000:
-                held = [merge()]
-                size = len(held[0][0])
-        if held:
-            keys, n = merge()
-            for k in range(0, len(keys), 500_000):
-                yield pd.DataFrame({"gram": keys[k : k + 500_000], "n": n[k : k + 500_000]})
-
-    grams = materialize(texts.select("data").mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    tree.levels = _levels(grams, total, depth)
-    return tree, total, distinct
-
-
-def _levels(grams: DataFrame, total: int, depth: int) -> list[dict[str, np.ndarray]]:
-    """The contexts that stay, with the counts after them. grams: (gram, n), a context of `depth` symbols and the next one."""
-    masks = F.array(*[F.lit((1 << (BITS * d)) - 1).cast("long") for d in range(depth + 2)])
-    mask_of = lambda d: F.get(masks, d)
-    rows = grams.select(F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d"), "gram", "n")
-    rows = rows.groupBy("d", F.col("gram").bitwiseAND(mask_of(F.col("d") + 1)).alias("gram")).agg(F.sum("n").alias("n"))
-    rows = materialize(rows.withColumn("context", F.shiftright("gram", BITS)), "counts")
-    sums = rows.groupBy("d", "context").agg(F.sum("n").alias("whole"), F.count("*").alias("kinds")).filter(F.col("whole") >= max(2.0, LEAST_CONTEXT * total))
-    rows = materialize(rows.join(sums, ["d", "context"]), "frequent")
-    up = rows.select((F.col("d") + 1).alias("d"), F.col("gram").alias("short"), F.col("n").alias("up_n"), F.col("whole").alias("up_whole"))
-    own = rows.filter("d > 0").withColumn("short", F.col("gram").bitwiseAND(mask_of(F.col("d"))))
-    gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("whole")) / (F.col("up_n") / F.col("up_whole"))))
-    tested = own.join(up, ["d", "short"]).groupBy("d", "context", "whole", "kinds").agg(gain.alias("gain"))
-    kept = tested.filter((F.col("gain") > F.col("kinds")) & (F.col("gain") >= LEAST_DIVERGENCE * total)).select("d", "context", "whole", "kinds")
-    kept = materialize(kept, "kept")
-    pairs = own.filter(F.col("n") >= max(2.0, LEAST_PAIR * total)).join(kept.select("d", "context"), ["d", "context"]).select("d", "gram", "n")
-    contexts, pairs = kept.toArrow(), pairs.toArrow()
-    levels = []
-    for d in range(1, depth + 1):
-        c = contexts.filter(np.asarray(contexts["d"]) == d).sort_by("context")
-        p = pairs.filter(np.asarray(pairs["d"]) == d).sort_by("gram")
-        names, whole, kinds = (np.asarray(c[x], dtype=np.int64) for x in ("context", "whole", "kinds"))
-        grams_d, n = np.asarray(p["gram"], dtype=np.int64), np.asarray(p["n"], dtype=np.int64)
-        listed = np.zeros(len(names))
-        np.add.at(listed, np.searchsorted(names, grams_d >> BITS), n)
-        # Witten and Bell: as much goes to the shorter context as the context has kinds of next symbols, and what is not listed goes there too.
-        levels.append({"contexts": names, "whole": (whole + kinds).astype(np.float64), "back": whole - listed + kinds, "pairs": grams_d if len(grams_d) else np.array([-1]), "n": n if len(n) else np.array([0])})
-    return levels
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_of: int = 7, held_out: int = 2, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+            for i, data, known in zip(pdf["id"], pdf["data"], pdf["learn"].tolist(), strict=True):
+                tokens = data.lower().split()
+                tokens.append(END_TOKEN)
+                codes.append(np.fromiter(map(code.__getitem__, tokens), dtype=np.int32, count=len(tokens)))
+                ids.append(i)
+                learned.append(known)
+                lengths.append(len(tokens))
+                size += len(data) + 16
+                if size >= block_bytes:
+                    yield close()
+        if ids:
+            yield close()
+
+    return rows.mapInPandas(run, BLOCKS)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_of: int = 7, held_out: int = 2, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES, hot_from: int = HOT) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs.
 
     Texts whose id's crc32 mod held_out_of is held_out are not learned from, nor are those with a null id. Tokens are the words between runs of
     white space after lower-casing A-Z, then one end. score is the tree's log10 probability of the text, base_score the add-one unigram
     model's. Null and empty texts have the end alone. Repeated rows all stay and all count. With nothing to learn from, every token is
-    unknown. Documents are dealt into blocks by a hash of id and text; a block's distinct tokens meet the corpus's counts in a
-    shuffle and come back to the block.
+    unknown and has probability 1. A text is in one block, so a very long one makes a block of its size, some 150 bytes of memory a token. Equal gain and
+    size is no divergence. Contexts and next symbols are known by hashes of 48 and 32 bits, tokens by 64. Other columns are not looked at.
     """
-    rows = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("data"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("data") + 16), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-size // block_bytes))
-    learn = F.col("id").isNotNull() & (fold(F.col("id"), held_out_of) != held_out)
-    dealt = rows.select(F.pmod(F.xxhash64("id", "data"), F.lit(n_blocks)).alias("block"), "id", "data", learn.alias("learn"))
-
-    own = dealt.select("block", "data", "learn").repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block")
-    counted = materialize(own.mapInPandas(_tokens, "block long, token binary, n long"), "counted")
-    by_token = W.partitionBy("token")
-    known = counted.withColumn("c", F.sum("n").over(by_token)).withColumn("first", F.row_number().over(by_token.orderBy("block")) == 1)
-    known = materialize(known.select("block", "token", "c", "first"), "tokens")
-    tree, total, distinct = fit(dealt.filter("learn").select("data"), known.filter("first AND c > 0").select("token", "c"), depth)
-    floor = float(np.log10(total + distinct + 1))
-    shared = broadcast(docs.sparkSession, tree)
-
-    def score_block(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        model = shared()
-        counts = {t: c for t, c in zip(right["token"], right["c"].tolist(), strict=True) if c}
-        # What a token adds to base_score, to n_known and, as part of the rare symbol, to score.
-        values = {c: (float(np.log10(c + 1)), 1, model.within(c)) for c in set(counts.values())}
-        frequent, unknown = model.symbols, (0.0, 0, model.within(0))
-        parts = {t: values[c] if t not in frequent else (values[c][0], 1, 0.0) for t, c in counts.items()}
-        out, encoded = [], []
-        for data in left["data"]:
-            tokens = data.lower().split()
-            encoded.append(model.encode(tokens))
-            tokens.append(END_TOKEN)
-            base, n_known, rare = map(sum, zip(*[parts.get(t, unknown) for t in tokens], strict=True))
-            if END_TOKEN not in counts:
-                rare -= unknown[2]  # the end has a symbol of its own, seen or not
-            out.append((len(tokens), n_known, base - len(tokens) * floor, rare))
-        keys, lengths = keys_of(encoded, len(model.levels))
-        logs = np.add.reduceat(model.log10(keys), np.concatenate([[0], np.cumsum(lengths)[:-1]]))
-        n_tokens, n_known, base, rare = zip(*out, strict=True)
-        return pd.DataFrame({"id": left["id"], "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": logs + np.array(rare)})
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    blocks = dealt.select("block", "id", "data").groupBy("block").cogroup(known.select("block", "token", "c").groupBy("block"))
-    scored = blocks.applyInPandas(score_block, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
+    spark = docs.sparkSession
+    blocks = materialize(blocks_of(docs, id_col, text_col, held_out_of, held_out, block_bytes), "blocks")
+    tokens = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    n_ranges = max(1, -(-tokens // RANGE_TOKENS), min(partitions(spark), -(-tokens // LEAST_RANGE_TOKENS)))
+    folder = shared_path(spark, "totals")
+    cuts = [np.array([-(-(k << bits) // n_ranges) for k in range(1, n_ranges)], dtype=np.uint64) for bits in (64, BITS)]
+
+    def opened(row: tuple, level: int) -> tuple[Block, list[dict]]:
+        """A block and the totals of the levels under `level`."""
+        block = Block(np.asarray(row.lengths, dtype=np.int64), np.asarray(row.learn, dtype=bool), np.frombuffer(bytes(row.hashes), dtype=np.uint64), unpack(row.codes, np.int32))
+        where, path = pafs.FileSystem.from_uri(_uri(folder))
+        totals = [_load(where, f"{path}/{d}-{row.block}", LEVEL if d else TOKENS) for d in range(level)]
+        if totals:
+            zero = totals[0]
+            end = np.searchsorted(block.hashes, np.uint64(xxhash.xxh64_intdigest(END_TOKEN)))
+            zero |= {"total": int(zero["totals"][0]), "distinct": int(zero["totals"][1]), "ends": int(zero["counts"][end])}
+        return block, totals
+
+    def send(level: int):  # noqa: ANN202
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for row in pdf.itertuples(index=False):
+                    block, totals = opened(row, level)
+                    if level:
+                        p, whole = block.climb(totals, hot_from)
+                        own = block.layout(level, whole, hot_from)
+                        known = block.learn[own.at]
+                        counts = np.bincount(own.item[known], minlength=len(own.symbols)).astype(np.uint32)
+                        sums = np.bincount(own.owner[known], weights=np.log(p[own.at[known]]), minlength=len(own.contexts))
+                        names, kinds, hot = own.contexts, own.kinds, own.hot
+                        begins = np.r_[0, np.cumsum(kinds, dtype=np.int64)]
+                    else:
+                        names, counts = block.hashes, np.bincount(block.codes[block.learn], minlength=len(block.hashes)).astype(np.uint32)
+                    edges = np.r_[0, np.searchsorted(names, cuts[1 if level else 0]), len(names)]
+                    out = []
+                    for r, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+                        if not level:
+                            out.append((r, row.block, pack_sorted(names[a:b]), b"", b"", pack(counts[a:b]), b"", b""))
+                        elif a < b:
+                            x, y = begins[a], begins[b]
+                            out.append((r, row.block, pack_sorted(names[a:b]), pack(kinds[a:b]), own.symbols[x:y].tobytes(), pack(counts[x:y]), sums[a:b].tobytes(), pack(hot[a:b])))
+                    if out:
+                        yield pd.DataFrame(out, columns=[c.split()[0] for c in SENT.split(", ")])
+
+        return run
+
+    def save(level: int):  # noqa: ANN202
+        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("r")
+            where, path = pafs.FileSystem.from_uri(_uri(folder))
+            where.create_dir(path, recursive=True)
+            joined = lambda name, kind: np.concatenate([unpack(x, kind) for x in rows[name]])
+            if level:
+                arrays = {"counts": joined("counts", np.uint32), "kinds": joined("kinds", np.uint32), "gains": np.concatenate([np.frombuffer(bytes(x), dtype=np.float64) for x in rows["gains"]])}
+            else:
+                arrays = {"counts": joined("counts", np.uint64), "totals": np.array([rows["total"].sum(), rows["distinct"].sum()], dtype=np.int64)}
+            return pd.DataFrame({"block": [key[0]], "total": [int(rows["total"].sum())], "bytes": [_save(where, f"{path}/{level}-{key[0]}", arrays)]})
+
+        return run
+
+    def save_nothing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Empty totals for blocks that ask nothing of a level."""
+        where, path = pafs.FileSystem.from_uri(_uri(folder))
+        for pdf in batches:
+            for block in pdf["block"]:
+                _save(where, f"{path}/{block}", {k: np.zeros(0, dtype=t) for k, t in LEVEL.items()})
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    def adder(total: int):  # noqa: ANN202
+        return lambda rows: add_up(rows, total)
+
+    learned = 0
+    for level in range(depth + 1):
+        asked = blocks.mapInPandas(send(level), SENT)
+        totals = asked.groupBy("r").applyInPandas(adder(learned) if level else add_up_tokens, BACK)
+        written = totals.groupBy("block").applyInPandas(save(level), "block string, total long, bytes long")
+        done = materialize(written, "written")
+        if not level:
+            learned = done.agg(F.coalesce(F.max("total"), F.lit(0))).first()[0]
+        else:
+            rest = blocks.select("block").join(done.select("block"), "block", "left_anti").select(F.concat(F.lit(f"{level}-"), "block").alias("block"))
+            rest.mapInPandas(save_nothing, "n long").agg(F.sum("n")).first()
+        del asked, totals, written
+        spark.sparkContext._jvm.System.gc()  # the level's shuffles are of no more use; the driver's cleaner drops them once they are unreachable
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                block, totals = opened(row, depth + 1)
+                zero = totals[0]
+                p, _ = block.climb(totals, hot_from)
+                counts = zero["counts"][block.codes].astype(np.float64)
+                begins = np.cumsum(block.lengths) - block.lengths
+                of_text = lambda x: np.add.reduceat(x, begins)  # noqa: E731,B023
+                base = np.log10((counts + 1) / (zero["total"] + zero["distinct"] + 1))
+                yield pd.DataFrame({
+                    "id": row.ids, "n_tokens": block.lengths, "n_known": of_text((counts > 0).astype(np.int64)), "train_tokens": zero["total"],
+                    "base_score": of_text(base), "score": of_text(np.log10(p)),
+                })
+
+    scored = blocks.mapInPandas(run, "id string, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = scored.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
     held = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % held_out_of == held_out, F.lit(False))
-    return scored.select(F.col("id").alias(id_col), held.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select(F.col("id").alias(id_col), held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def _uri(path: str) -> str:
+    """The path as pyarrow wants it: file:/x is file:///x."""
+    return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path

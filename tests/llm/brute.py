@@ -119,6 +119,34 @@ def unigrams(rows):
     return [(i is not None and fold(i, 7) == 2, len(t), sum(seen[w] > 0 for w in t), n, sum(math.log10((seen[w] + 1) / (n + v + 1)) for w in t)) for (i, _), t in zip(rows, toks, strict=True)]
 
 
+def suffix_tree(rows, depth):
+    """rows: (id, text) -> (n_tokens, log10 probability) of each, from dictionaries of contexts as tuples of symbols."""
+    texts = [["<s>", *words(ascii_lower(text or "")), None] for _, text in rows]
+    known = [t for (i, _), t in zip(rows, texts, strict=True) if i is not None and fold(i, 7) != 2]
+    n, follow = Counter(w for t in known for w in t[1:]), {}
+    total, kinds = sum(n.values()), len(n)
+    for t in known:
+        for k in range(1, len(t)):
+            for d in range(1, min(depth, k) + 1):
+                follow.setdefault(tuple(t[k - d : k]), Counter())[t[k]] += 1
+    nodes = {}
+
+    def chance(context, w):
+        p = (n[w] + 1) / (total + kinds + 1)
+        for d in range(1, len(context) + 1):
+            if context[-d:] in nodes:
+                c = nodes[context[-d:]]
+                p = (c[w] + len(c) * p) / (sum(c.values()) + len(c))
+        return p
+
+    for context in sorted(follow, key=len):
+        c = follow[context]
+        size = sum(c.values())
+        if size >= 2 and sum(m * math.log(m / size / chance(context[1:], w)) for w, m in c.items()) > len(c) * math.log(total) / 2:
+            nodes[context] = c
+    return [(len(t) - 1, sum(math.log10(chance(tuple(t[max(0, k - depth) : k]), t[k])) for k in range(1, len(t)))) for t in texts]
+
+
 def shingle_likeness(a, b, width=5):
     def of(text):
         ws = words(text.lower())

@@ -350,29 +350,26 @@ def test_suffix_tree_of_odd_rows_and_of_nothing(spark, odd):
     assert suffix_tree.score(spark.createDataFrame([(None, "a b", "en", "s", 3)], DOCS).select("doc_id", "text")).first()["train_tokens"] == 0
 
 
-def test_tree_is_a_distribution_over_its_contexts(spark):
-    rng = np.random.default_rng(5)
-    texts = [(k, " ".join(["the quick fox" if rng.random() < 0.5 else str(rng.choice(["a", "b", "the", f"w{rng.integers(900)}"])) for _ in range(200)]).encode()) for k in range(60)]
-    seen = Counter(t for _, d in texts for t in [*d.split(), suffix_tree.END_TOKEN])
-    docs, counts = spark.createDataFrame(texts, "id long, data binary"), spark.createDataFrame(list(seen.items()), "token binary, c long")
-    tree, total, distinct = suffix_tree.fit(docs, counts)
-    assert (total, distinct) == (sum(seen.values()), len(seen))
-    of = tree.symbols
-    assert len(tree.levels[0]["contexts"]) > 0
-    every = np.arange(len(tree.chance))
-    for context in ((of[b"the"], of[b"quick"]), (of[b"a"], of[b"b"]), (0, 0), (1, 1)):
-        p = 10 ** tree.log10((context[0] << 30) + (context[1] << 15) + every)
-        assert math.isclose(p.sum(), 1, rel_tol=1e-9)
-    assert 10 ** tree.log10(np.array([(of[b"the"] << 30) + (of[b"quick"] << 15) + of[b"fox"]]))[0] > 0.9
-    rare = [c for t, c in seen.items() if t not in of]
-    assert math.isclose(sum(10 ** tree.within(c) for c in rare) + 10 ** tree.within(0), 1, rel_tol=1e-9)
-
-
-def test_keys_do_not_cross_texts():
-    keys, lengths = suffix_tree.keys_of([[5, 6], [], [7]], 2)
-    split = [tuple((int(k) >> s) & 32767 for s in (30, 15, 0)) for k in keys]
-    assert lengths.tolist() == [3, 1, 2]
-    assert split == [(0, 0, 5), (0, 5, 6), (5, 6, 0), (0, 0, 0), (0, 0, 7), (0, 7, 0)]
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 3000, "hot_from": 40}, {"depth": 1}])
+def test_scores_equal_a_plain_tree(spark, documents, options):
+    rows = documents[:60] + [(1000 + k, documents[k][1]) for k in range(0, 60, 7)] + [(None, "the last one"), (2000, None), (2000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 6)) for r in suffix_tree.score(docs, **options).collect())
+    expect = sorted((str(i), n, round(x, 6)) for (i, _), (n, x) in zip(rows, brute.suffix_tree(rows, options.get("depth", 3)), strict=True))
+    assert len(got) == len(expect)
+    for (i, n, x), (j, m, y) in zip(got, expect, strict=True):
+        assert (i, n) == (j, m) and math.isclose(x, y, rel_tol=1e-6, abs_tol=1e-6)
+
+
+def test_texts_that_occur_twice_stand_apart(spark):
+    rng, words = np.random.default_rng(8), [f"w{k}" for k in range(300)]
+    texts = [" ".join(rng.choice(words, 120)) for _ in range(80)]
+    rows = [(k, texts[k % 70]) for k in range(80)]
+    rows = [(i, t) for i, t in rows if brute.fold(i, 7) != 2]
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen = Counter(t for _, t in rows)
+    twice, once = ([got[i] for i, t in rows if seen[t] == n] for n in (2, 1))
+    assert min(twice) > max(once) + 0.5
 
 
 # -- classifiers ------------------------------------------------------------------------------------------------------------
