@@ -35,7 +35,7 @@ DEPTH = 3
 END_TOKEN = b" "  # no word holds white space
 START = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text in a block, and tokens whose counts a range takes, about.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 RANGE_TOKENS, LEAST_RANGE_TOKENS = 2_500_000, 250_000
 #: Occurrences from which a context is dealt over several ranges.
 HOT = 1 << 20
@@ -74,6 +74,23 @@ def mixed(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _sorted_by(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Order by context and symbol; equal pairs in any order. One sort of both in a word, then the few whose symbols differ above the bits that fit."""
+    spare = np.uint64(64 - BITS)
+    word = (context << spare) | (symbol.astype(np.uint64) >> (np.uint64(32) - spare))
+    order = np.argsort(word)
+    w, s = word[order], symbol[order]
+    changes = w[1:] != w[:-1]
+    clash = ~changes & (s[1:] != s[:-1])
+    if clash.any():
+        run = np.r_[0, np.cumsum(changes)]
+        unsorted = np.zeros(run[-1] + 1, dtype=bool)
+        unsorted[run[1:][clash]] = True
+        some = np.flatnonzero(unsorted[run])
+        order[some] = order[some][np.lexsort((s[some], w[some]))]
+    return order
+
+
 @dataclass
 class Layout:
     """What a block asks of a level: positions, each one's item and context, items sorted by (context, symbol), and the hot contexts' parts."""
@@ -124,7 +141,7 @@ class Block:
         part_names = mixed(named[part_of], (part + 2).astype(np.uint64)) >> shift
         context[hot_at] = mixed(context[hot_at], (symbol[hot_at] % parts[hot_at] + 2).astype(np.uint64))
         context >>= shift
-        order = np.lexsort((symbol, context))
+        order = _sorted_by(context, symbol)
         c, s = context[order], symbol[order]
         new_context = np.diff(c, prepend=c[:1]) != 0
         new_item = new_context | (np.diff(s, prepend=s[:1]) != 0)
