@@ -35,8 +35,8 @@ DEPTH = 3
 END_TOKEN = b" "  # no word holds white space
 START = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text in a block, and tokens whose counts a range takes, about.
-BLOCK_BYTES = 8 << 20
-RANGE_TOKENS, LEAST_RANGE_TOKENS = 2_500_000, 250_000
+BLOCK_BYTES = 6 << 20
+RANGE_TOKENS, LEAST_RANGE_TOKENS = 1_250_000, 250_000
 #: Occurrences from which a context is dealt over several ranges.
 HOT = 1 << 20
 #: Bits of a context's hash.
@@ -48,23 +48,23 @@ BACK = "r int, block string, counts binary, kinds binary, gains binary, total lo
 
 
 def pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+    """Compressed numbers, all first bytes before all second ones, since the higher ones are mostly zero."""
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpack(data: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(data)), dtype=kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(data)), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
 def pack_sorted(a: np.ndarray) -> bytes:
-    """Ascending numbers by their steps, in four bytes each where that is enough."""
-    steps = np.diff(a, prepend=np.uint64(0)).astype(np.uint64)
-    narrow = not len(steps) or int(steps.max()) < 1 << 32
-    return (b"4" if narrow else b"8") + steps.astype(np.uint32 if narrow else np.uint64).tobytes()
+    """Ascending numbers by their steps, whose higher bytes are mostly zero."""
+    return pack(np.diff(a, prepend=np.uint64(0)).astype(np.uint64))
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
-    data = bytes(data)
-    return np.cumsum(np.frombuffer(data, dtype=np.uint32 if data[:1] == b"4" else np.uint64, offset=1).astype(np.uint64), dtype=np.uint64)
+    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
 
 
 def mixed(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -108,9 +108,13 @@ class Layout:
 
 
 class Block:
-    """The texts of a block as one array of symbols, each text's after its start mark; positions are those of tokens and ends."""
+    """The texts of a block as one array of symbols, each text's after its start mark; positions are those of tokens and ends, hashes ascend."""
 
     def __init__(self, lengths: np.ndarray, learn: np.ndarray, hashes: np.ndarray, codes: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        place = np.empty(len(order), dtype=np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        hashes, codes = hashes[order], place[codes]
         self.lengths, self.hashes, self.codes = lengths, hashes, codes
         starts = np.cumsum(lengths + 1) - lengths - 1
         inside = np.ones(len(codes) + len(lengths), dtype=bool)
@@ -211,7 +215,7 @@ def add_up(rows: pd.DataFrame, total_tokens: int) -> pd.DataFrame:
     owner = (items >> np.uint64(32)).astype(np.int64)
     total = lambda x, at: np.bincount(at, weights=x, minlength=len(names))
     whole, size = total(n, owner), total(n > 0, owner)
-    gain = total(n * np.log(np.maximum(n, 1)), owner) - total(np.concatenate([np.frombuffer(bytes(x), dtype=np.float64) for x in rows["sums"]]), of)
+    gain = total(n * np.log(np.maximum(n, 1)), owner) - total(np.concatenate([np.frombuffer(bytes(x), dtype=np.float32) for x in rows["sums"]]), of)
     hot = np.zeros(len(names), dtype=bool)
     hot[of[np.concatenate(hots)]] = True
     node = (whole >= 2) & (gain - whole * np.log(np.maximum(whole, 1)) > size * cost_of_kind(total_tokens))
@@ -271,10 +275,7 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, held_out_of: int, hel
         def close() -> pd.DataFrame:
             nonlocal made, ids, learned, lengths, codes, size
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, code), dtype=np.uint64, count=len(code))
-            order = np.argsort(hashes)
-            place = np.empty(len(order), dtype=np.int32)
-            place[order] = np.arange(len(order))
-            row = (f"{task:06d}-{made:06d}", sum(lengths), ids, learned, lengths, hashes[order].tobytes(), pack(place[np.concatenate(codes)]))
+            row = (f"{task:06d}-{made:06d}", sum(lengths), ids, learned, lengths, hashes.tobytes(), pack(np.concatenate(codes)))
             made, ids, learned, lengths, codes, size = made + 1, [], [], [], [], 0
             code.clear()
             return pd.DataFrame([row], columns=[c.split()[0] for c in BLOCKS.split(", ")])
@@ -345,7 +346,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
                             out.append((r, row.block, pack_sorted(names[a:b]), b"", b"", pack(counts[a:b]), b"", b""))
                         elif a < b:
                             x, y = begins[a], begins[b]
-                            out.append((r, row.block, pack_sorted(names[a:b]), pack(kinds[a:b]), own.symbols[x:y].tobytes(), pack(counts[x:y]), sums[a:b].tobytes(), pack(hot[a:b])))
+                            out.append((r, row.block, pack_sorted(names[a:b]), pack(kinds[a:b]), own.symbols[x:y].tobytes(), pack(counts[x:y]), sums[a:b].astype(np.float32).tobytes(), pack(hot[a:b])))
                     if out:
                         yield pd.DataFrame(out, columns=[c.split()[0] for c in SENT.split(", ")])
 
