@@ -23,6 +23,8 @@ SAMPLE = 400
 DICTIONARY_BYTES = 48 << 10
 ALL_BYTES = 64 << 20
 CHUNK = 2048
+#: Languages up to which their table of one row each is broadcast.
+BROADCAST_LANGUAGES = 10_000
 LEAST_MARGIN = 0.01
 #: Short matches tell languages apart, so the search is a thorough one for matches from three bytes on.
 COMPRESSION = {"strategy": zstandard.STRATEGY_BTOPT, "min_match": 3, "search_log": 5, "window_log": 17, "hash_log": 15, "chain_log": 16}
@@ -93,7 +95,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield pd.DataFrame({"lang": lang, "word": list(words), "n": list(words.values())}).astype({"n": "int64"})
 
     each = max(256, min(DICTIONARY_BYTES, ALL_BYTES // len(of)))
-    chosen = known.join(counts, "lang").filter(unit_hash(F.col("id"), seed="lang") < F.lit(float(sample)) / F.col("n")).filter(F.col("text").isNotNull()).select("lang", "text")
+    # One row a language: broadcast while they are few, so that no text is shuffled.
+    chosen = known.join(F.broadcast(counts) if len(of) <= BROADCAST_LANGUAGES else counts, "lang").filter(unit_hash(F.col("id"), seed="lang") < F.lit(float(sample)) / F.col("n")).filter(F.col("text").isNotNull()).select("lang", "text")
     words = chosen.mapInPandas(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     upto = F.sum(F.octet_length("word") + 1).over(W.partitionBy("lang").orderBy(F.desc("n"), "word").rowsBetween(W.unboundedPreceding, W.currentRow))
     rows = words.withColumn("upto", upto).filter(F.col("upto") <= each).select("lang", "word", "upto").collect()
