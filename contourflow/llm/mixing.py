@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from contourflow.llm.common import materialize, unit_hash
+from contourflow.llm import quality
+from contourflow.llm.common import free_name, materialize, unit_hash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,9 +57,9 @@ def mix(docs: DataFrame, weight: Column | None = None, weight_of: DataFrame | No
     taken whole if at least half of it fits, else not at all. A null source is a source of its own. Ties in the key (repeated rows) go by
     id and row_hash; equal rows are interchangeable. Reruns give equal results: keys hang on id and text alone. Rows of size 0 take nothing.
     """
-    quality = F.lit(1.0) if weight is None else F.coalesce(weight.cast("double"), F.lit(1.0))
+    rate = F.lit(1.0) if weight is None else F.coalesce(weight.cast("double"), F.lit(1.0))
     text_hash = F.xxhash64(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(text_col).alias("size"), text_hash.alias("row_hash"), quality.alias("quality"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(text_col).alias("size"), text_hash.alias("row_hash"), rate.alias("quality"))
     if weight_of is not None:
         narrow = materialize(rows.drop("quality"), "sizes")
         rows = narrow.join(weight_of, narrow["id"] == weight_of["label_id"], "left").withColumn("quality", F.coalesce("quality_weight", F.lit(1.0)))
@@ -101,7 +102,12 @@ def mix(docs: DataFrame, weight: Column | None = None, weight_of: DataFrame | No
     return out.select(F.col("id").alias(id_col), "row_hash", "source", "size", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
 
 
-def label_weights(labels: DataFrame, good: float = 2.0, bad: float = 0.5) -> DataFrame:
-    """(label_id, quality_weight) of labelled documents: one row an id; an id with several labels counts as good if any is."""
-    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    return known.groupBy(F.col("doc_id").alias("label_id")).agg(F.when(F.max("quality") > 0, F.lit(good)).otherwise(F.lit(bad)).alias("quality_weight"))
+def quality_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = 0.5, high: float = 2.0) -> tuple[DataFrame, Column]:
+    """(docs with a column of weights, that column): every document's weight by the quality classifier's score of its whole text, from `low` at 0 to `high` at 1.
+
+    The classifier learns from the labels as in quality.fit; documents with and without a label are weighed alike, equal texts equally. Null and empty
+    texts are scored too. Without labels of both kinds all weights are equal. The new column's name is one that docs does not have.
+    """
+    name = free_name(docs, "quality_weight")
+    scored = quality.score(docs, quality.fit(docs, labels, id_col, text_col), text_col, into=name)
+    return scored.withColumn(name, F.lit(low) + F.col(name) * (high - low)), F.col(name)

@@ -33,8 +33,8 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = mixing.label_weights(table(spark, sf_dir, "labels"))
-    return mixing.mix(table(spark, sf_dir, "documents"), weight_of=weights).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
+    docs, weight = mixing.quality_weights(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mixing.mix(docs, weight=weight).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

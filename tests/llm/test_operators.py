@@ -175,6 +175,21 @@ def test_mix_of_nothing(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_the_mix_weighs_all_documents_by_their_quality(spark, odd):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    weighed, weight = mixing.quality_weights(docs, labels)
+    got = {r["doc_id"]: r["w"] for r in weighed.select("doc_id", weight.alias("w")).collect()}
+    assert len(got) == docs.count() and all(0.5 <= w <= 2.0 for w in got.values())
+    known = {r["doc_id"]: r["quality"] for r in labels.filter("quality IS NOT NULL").collect()}
+    mean = [sum(got[i] for i in part) / len(part) for part in ([i for i, q in known.items() if i in got and q == k] for k in (0, 1))]
+    assert mean[1] > mean[0] + 0.5
+    assert len({w > 1.0 for i, w in got.items() if i not in known}) == 2
+    none = labels.limit(0)
+    rows, weight = mixing.quality_weights(odd.withColumn("quality_weight", F.lit("x")), none)
+    assert {r["quality_weight"] for r in rows.collect()} == {"x"}
+    check_mix([(r[0], r[1], r[3]) for r in ODD], mixing.mix(rows, weight=weight).collect())
+
+
 def test_weights_shift_what_the_last_epoch_takes(spark):
     rows = [(k, "w " * 10, "en", "s" if k < 900 else "t", 0) for k in range(1000)]
     got = mixing.mix(spark.createDataFrame(rows, DOCS), F.when(F.col("doc_id") % 2 == 0, 8.0).otherwise(1.0), weights=(1.0, 3.0)).collect()
