@@ -58,7 +58,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     source count together. Ties go as in mixing.mix. Other columns than COLUMNS go.
     """
     docs = docs.select(*COLUMNS)
-    mixed = mixing.mix(docs, weight_of=mixing.label_weights(table(spark, sf_dir, "labels")), whole=True)
+    weighed, weight = mixing.quality_weights(docs, table(spark, sf_dir, "labels"))
+    mixed = mixing.mix(weighed, weight=weight, whole=True)
     times = F.when(F.col("size") > 0, F.col("epochs") + (F.col("part") > 0).cast("long")).otherwise(F.lit(0))
     picks = mixed.groupBy(F.col("doc_id").alias("id"), "row_hash", F.col("source").alias("of")).agg(F.sum(times).alias("times"), F.count("*").alias("n"))
     rows = docs.withColumn("_hash", F.xxhash64("text"))
