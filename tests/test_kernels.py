@@ -137,6 +137,13 @@ def test_circle_radius_and_length(spark, radius):
     assert min(r) > 0.97 * radius and max(r) < 1.03 * radius
 
 
+def test_only_a_straight_along_an_axis_is_surely_straight(spark):
+    xy = {1: [(0, 0), (1, 3), (2, 6)], 2: [(0, 5), (1, 5), (2, 5)], 3: [(4, 4), (4, 4), (9, 1)], 4: [(0, 0), (1, 1), (2, 0)]}
+    st = spark.createDataFrame([(p, k, float(x), float(y)) for p, points in xy.items() for k, (x, y) in enumerate(points)], "path_id long, k long, x_m double, y_m double")
+    found = {r["path_id"]: (math.isinf(r["radius_m"]), r["on_axis"]) for r in polyline.curve_radii(st).collect()}
+    assert found == {1: (True, False), 2: (True, True), 3: (True, True), 4: (False, False)}
+
+
 def test_straight_slope_is_one_tangent(spark):
     s = np.linspace(0, 1000, 201)
     p = points_of(spark, np.stack([s, 0 * s, 0.04 * s], 1))

@@ -39,6 +39,14 @@ def test_query_equals_its_sql(spark, duck, name):
     assert bag(got.columns, [tuple(r) for r in got.collect()]) == bag(expect.columns, expect.fetchall())
 
 
+def test_curvature_of_straights_equals_its_sql_on_larger_tables(spark):
+    larger, (f, sql) = "/root/testdata/sf0.1", REGISTRY["curve_radii"]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{larger}/events.parquet'")
+    got, expect = f(spark, larger), con.sql(sql)
+    assert bag(got.columns, [tuple(r) for r in got.collect()]) == bag(expect.columns, expect.fetchall())
+
+
 @pytest.mark.parametrize("name", [n for n, (_, sql) in REGISTRY.items() if not sql])
 def test_query_without_sql_gives_rows(spark, name):
     assert REGISTRY[name][0](spark, SF).count() > 0
