@@ -70,12 +70,15 @@ def offsets(connectivity: int, forward: bool = False) -> list[tuple[int, int]]:
 
 
 def _neighbours(cells: DataFrame, connectivity: int, forward: bool, extra: list[str]) -> DataFrame:
-    """Pairs of touching cells: u, v and both sides' columns (suffix _u, _v), by one equi-join on computed coordinates."""
+    """Pairs of touching cells: u, v and both sides' columns (suffix _u, _v), by one equi-join on computed coordinates.
+
+    The join is a merge by request: cells that compress to a few megabytes would else be broadcast, a multiple of that in the driver.
+    """
     steps = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("di"), F.lit(b).alias("dj")) for k, (a, b) in enumerate(offsets(connectivity, forward))])).alias("o")
     left = cells.select("terrain_id", F.col("node").alias("u"), "i", "j", *[F.col(c).alias(f"{c}_u") for c in extra], steps)
     left = left.select("*", F.col("o.k").alias("k"), F.hypot(F.col("o.di").cast("double"), F.col("o.dj").cast("double")).alias("step"), (F.col("i") + F.col("o.di")).alias("i2"), (F.col("j") + F.col("o.dj")).alias("j2")).drop("i", "j", "o")
     right = cells.select("terrain_id", F.col("node").alias("v"), F.col("i").alias("i2"), F.col("j").alias("j2"), *[F.col(c).alias(f"{c}_v") for c in extra])
-    return left.join(right, ["terrain_id", "i2", "j2"]).drop("i2", "j2")
+    return left.join(right.hint("merge"), ["terrain_id", "i2", "j2"]).drop("i2", "j2")
 
 
 def grid_edges(cells: DataFrame, cell_m: float = 1.0, connectivity: int = 8) -> DataFrame:
@@ -100,7 +103,7 @@ def masked(edges: DataFrame, mask: DataFrame) -> DataFrame:
     """Edges with both ends in mask(terrain_id, node) (FLT-1, FLT-3)."""
     out = edges
     for end in ("u", "v"):
-        out = out.join(mask.select("terrain_id", F.col("node").alias(end)), ["terrain_id", end], "left_semi")
+        out = out.join(mask.select("terrain_id", F.col("node").alias(end)).hint("merge"), ["terrain_id", end], "left_semi")
     return out.select(edges.columns)
 
 

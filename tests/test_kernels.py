@@ -137,6 +137,13 @@ def test_circle_radius_and_length(spark, radius):
     assert min(r) > 0.97 * radius and max(r) < 1.03 * radius
 
 
+def test_cells_are_never_broadcast(spark):
+    cells = spark.createDataFrame([("t", i * 3 + j, i, j, float(i + j), True) for i in range(3) for j in range(3)], "terrain_id string, node long, i int, j int, z double, valid boolean")
+    edges = graph.masked(graph.grid_edges(cells), cells.filter("z > 0"))
+    assert edges.count() == 34
+    assert "BroadcastHashJoin" not in edges._jdf.queryExecution().executedPlan().toString()
+
+
 def test_only_a_straight_along_an_axis_is_surely_straight(spark):
     xy = {1: [(0, 0), (1, 3), (2, 6)], 2: [(0, 5), (1, 5), (2, 5)], 3: [(4, 4), (4, 4), (9, 1)], 4: [(0, 0), (1, 1), (2, 0)]}
     st = spark.createDataFrame([(p, k, float(x), float(y)) for p, points in xy.items() for k, (x, y) in enumerate(points)], "path_id long, k long, x_m double, y_m double")
