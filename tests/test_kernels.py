@@ -137,6 +137,26 @@ def test_circle_radius_and_length(spark, radius):
     assert min(r) > 0.97 * radius and max(r) < 1.03 * radius
 
 
+def test_largest_s_solves_each_knot_set_a_few_times(monkeypatch):
+    rng = np.random.default_rng(7)
+    points, calls, plain = np.stack([10.0 * np.arange(60), rng.integers(0, 100, 60)], 1), [], spline.solved
+    monkeypatch.setattr(spline, "solved", lambda a, b: calls.append(1) or plain(a, b))
+    found = spline.largest_s(points, 2.5)
+    assert found.tried > 5 and len(calls) < 3 * len(points)
+    a, b = rng.random((150, 2)), rng.random((70, 2))
+    d = np.hypot(a[:, None, 0] - b[None, :, 0], a[:, None, 1] - b[None, :, 1])
+    assert spline.hausdorff(a, b) == max(d.min(axis=1).max(), d.min(axis=0).max())
+    knots, u = np.r_[np.zeros(4), 0.25, 0.5, 0.5, 0.8, np.ones(4)], np.linspace(0, 1, 41)
+    values = spline.basis(knots, 3, u)
+    assert np.allclose(values.sum(axis=1), 1.0) and (values >= 0).all() and np.allclose(values @ [knots[i + 1 : i + 4].mean() for i in range(8)], u)
+
+
+def test_paths_are_smoothed_in_many_tasks(spark):
+    points = spark.range(400).selectExpr("id div 4 AS path_id", "int(id % 4) AS seq", "double(id % 4 * 10) AS x_m", "double(id % 3) AS y_m", "0D AS z_m")
+    found = smoothing.before_after(points, checks.road_classes(spark).filter("name = 'STAS863_V25'"))
+    assert found.count() == 100 and found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_cells_are_never_broadcast(spark):
     cells = spark.createDataFrame([("t", i * 3 + j, i, j, float(i + j), True) for i in range(3) for j in range(3)], "terrain_id string, node long, i int, j int, z double, valid boolean")
     edges = graph.masked(graph.grid_edges(cells), cells.filter("z > 0"))
