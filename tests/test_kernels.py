@@ -157,6 +157,26 @@ def test_paths_are_smoothed_in_many_tasks(spark):
     assert found.count() == 100 and found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_costs_by_slabs_are_the_searchs(spark):
+    rng = np.random.default_rng(3)
+    ok = rng.random((40, 4)) > 0.2
+    ok[25] = False  # two halves without a way between them
+    cells = cells_of(spark, rng.integers(0, 50, (40, 4)), ok).filter("valid")
+    edges = graph.cut_lineage(graph.with_cost(graph.grid_edges(cells), "height_tiebreak"))
+    pairs = graph.cut_lineage(spark.range(120).selectExpr("'t' AS terrain_id", "id AS od_id", "id * 37 % 160 AS start", "id * 61 % 160 AS target"))
+    found = {r["od_id"]: r for r in searches.costs(edges, pairs, cells, search_work=0, most_slabs=5).collect()}
+    plain = {r["od_id"]: r for r in searches.searches(edges, pairs, cells).collect()}
+    assert len(found) == 120 and sum(r["path_found"] for r in found.values()) not in (0, 120)
+    for od, r in plain.items():
+        assert found[od]["path_found"] == r["path_found"] and found[od]["n_edges"] == max(r["n_path_nodes"] - 1, 0)
+        assert [found[od][c] for c in ("cost", "length_m", "climb_m")] == ([pytest.approx(r[c]) for c in ("cost", "length_m", "climb_m")] if r["path_found"] else [None] * 3)
+    short = {r["od_id"]: r for r in searches.cost_measures(searches.costs(edges, pairs, None, 0, 5), pairs, cells, 1.0).collect()}
+    for od, r in short.items():
+        (i, j), (a, b) = divmod(od * 37 % 160, 4), divmod(od * 61 % 160, 4)
+        assert r["sinuosity"] == (pytest.approx(found[od]["length_m"] / math.hypot(i - a, j - b)) if (i, j) != (a, b) else math.inf)
+    assert {od for od, r in found.items() if r["n_edges"] > 0} <= short.keys()
+
+
 def test_cells_are_never_broadcast(spark):
     cells = spark.createDataFrame([("t", i * 3 + j, i, j, float(i + j), True) for i in range(3) for j in range(3)], "terrain_id string, node long, i int, j int, z double, valid boolean")
     edges = graph.masked(graph.grid_edges(cells), cells.filter("z > 0"))
