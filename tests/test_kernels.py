@@ -177,6 +177,17 @@ def test_costs_by_slabs_are_the_searchs(spark):
     assert {od for od, r in found.items() if r["n_edges"] > 0} <= short.keys()
 
 
+def test_edges_are_copied_to_no_more_tasks_than_cores(spark):
+    edges = spark.range(10).selectExpr("'t' AS terrain_id", "id AS u", "id + 1 AS v", "1D AS weight")
+    pairs = spark.range(500).selectExpr("'t' AS terrain_id", "id AS od_id", "0L AS start", "1L AS target")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        copies, dealt = searches._dealt(edges, pairs, 1)
+        assert copies.count() == 10 * spark.sparkContext.defaultParallelism and dealt.agg(F.max("part")).first()[0] < spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def test_cells_are_never_broadcast(spark):
     cells = spark.createDataFrame([("t", i * 3 + j, i, j, float(i + j), True) for i in range(3) for j in range(3)], "terrain_id string, node long, i int, j int, z double, valid boolean")
     edges = graph.masked(graph.grid_edges(cells), cells.filter("z > 0"))
