@@ -8,10 +8,11 @@ the end of the budget is sorted, all others are taken or left whole by their sum
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from contourflow.llm import quality
-from contourflow.llm.common import free_name, materialize, unit_hash
+from contourflow.llm.common import broadcast, free_name, materialize, unit_hash, utf8
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,9 +64,37 @@ def mix(docs: DataFrame, weight: Column | None = None, weight_of: DataFrame | No
     if weight_of is not None:
         narrow = materialize(rows.drop("quality"), "sizes")
         rows = narrow.join(weight_of, narrow["id"] == weight_of["label_id"], "left").withColumn("quality", F.coalesce("quality_weight", F.lit(1.0)))
+    return _deal(rows, docs.count(), id_col, weights, most, share, whole, seed)
+
+
+def mix_by_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", low: float = 0.5, high: float = 2.0, weights: Sequence[float] = WEIGHTS, most: float = MOST_EPOCHS, share: float = 1.0, whole: bool = False, seed: str = "mix") -> DataFrame:
+    """mix with the weights of quality_weights: the same rows, in one pass over the texts from which no text comes back."""
+    return _deal(measured(docs, labels, id_col, text_col, source_col, low, high), docs.count(), id_col, weights, most, share, whole, seed)
+
+
+def measured(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", low: float = 0.5, high: float = 2.0) -> DataFrame:
+    """(id, source, row_hash, size, quality), a row for each row of docs: what mix takes of a text, and its weight as in quality_weights.
+
+    A text goes to Python once, is counted and scored there and does not wait in the JVM for its score. Null texts have size 0.
+    """
+    shared = broadcast(docs.sparkSession, quality.fit(docs, labels, id_col, text_col))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("row_hash"), utf8(text_col).alias("data"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("data").to_pylist()
+            size = pa.array([len(t.split()) for t in texts], pa.int64())  # splits bytes where WORD does
+            weight = pa.array(low + quality.scores(shared(), texts) * (high - low), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("source"), batch.column("row_hash"), size, weight], ["id", "source", "row_hash", "size", "quality"])
+
+    schema = rows.drop("data").schema.add("size", "long").add("quality", "double")
+    return rows.mapInArrow(run, schema)
+
+
+def _deal(rows: DataFrame, n: int, id_col: str, weights: Sequence[float], most: float, share: float, whole: bool, seed: str) -> DataFrame:
+    """The mix of n rows (id, source, size, row_hash, quality), as mix gives it."""
     key = -F.log(unit_hash(F.col("id"), F.col("row_hash"), seed=seed)) / F.col("quality")
     rows = rows.withColumn("key", key)
-    n = docs.count()
     buckets = min(1 << 16, max(16, n // ROWS_A_BUCKET))
     rows = rows.withColumn("bucket", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * buckets))
     rows = materialize(rows.select("id", "source", "size", "row_hash", "key", "bucket"), "rows")

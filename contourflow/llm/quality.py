@@ -8,7 +8,7 @@ of them with numpy, one step of depth at a time.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from operator import eq
 
@@ -172,6 +172,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return grow(np.array([r["x"] for r in rows]), y)
 
 
+def scores(forest: Forest, texts: Sequence[bytes]) -> np.ndarray:
+    """Each UTF-8 text's score."""
+    x = np.array([statistics(t) for t in texts]).reshape(len(texts), len(STATISTICS))
+    return np.concatenate([forest.score(x[k : k + 4096]) for k in range(0, max(1, len(x)), 4096)])
+
+
 def score(docs: DataFrame, forest: Forest, text_col: str = "text", into: str = "score") -> DataFrame:
     """docs with a score in [0, 1] of each whole text, 1 for good; null and empty texts have all statistics zero.
 
@@ -181,7 +187,6 @@ def score(docs: DataFrame, forest: Forest, text_col: str = "text", into: str = "
 
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            x = np.array([statistics(t) for t in batch]).reshape(len(batch), len(STATISTICS))
-            yield pd.Series(np.concatenate([shared().score(x[k : k + 4096]) for k in range(0, max(1, len(x)), 4096)]))
+            yield pd.Series(scores(shared(), batch))
 
     return docs.withColumn(into, F.pandas_udf(of, "double")(utf8(text_col)))

@@ -33,8 +33,7 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, weight = mixing.quality_weights(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return mixing.mix(docs, weight=weight).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
+    return mixing.mix_by_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,6 +171,16 @@ def test_mix_of_odd_rows(spark, odd):
     check_mix([(r[0], r[1], r[3]) for r in ODD], mixing.mix(odd).collect())
 
 
+def test_the_mix_by_quality_equals_the_mix_by_weights_and_holds_no_text_for_its_score(spark, odd):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    for rows in (docs, odd, odd.limit(0)):
+        weighed, weight = mixing.quality_weights(rows, labels)
+        assert bag(mixing.mix_by_quality(rows, labels).collect()) == bag(mixing.mix(weighed, weight=weight).collect())
+    plan = mixing.measured(docs, labels)._jdf.queryExecution().optimizedPlan().toString()
+    assert "EvalPython" not in plan  # it keeps the rows, texts and all, until their scores are there
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
 
