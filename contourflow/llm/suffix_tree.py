@@ -67,33 +67,43 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
 
 
-def mixed(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+def mixed(a: np.ndarray | np.uint64, b: np.ndarray) -> np.ndarray:
     """A hash of two 64-bit hashes, in their order."""
-    x = (a ^ (b * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0x9E3779B185EBCA87)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x165667B19E3779F9)
-    return x ^ (x >> np.uint64(32))
+    x = b * np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= a
+    x *= np.uint64(0x9E3779B185EBCA87)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x165667B19E3779F9)
+    x ^= x >> np.uint64(32)
+    return x
 
 
-def _sorted_by(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """Order by context and symbol; equal pairs in any order. One sort of both in a word, then the few whose symbols differ above the bits that fit."""
+def _sorted_by(context: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by context and symbol, equal pairs in any order; then both in that order. One sort of both in a word, then the few whose symbols differ above the bits that fit."""
     spare = np.uint64(64 - BITS)
-    word = (context << spare) | (symbol.astype(np.uint64) >> (np.uint64(32) - spare))
+    word = context << spare
+    word |= symbol >> (np.uint32(32) - np.uint32(spare))
     order = np.argsort(word)
     w, s = word[order], symbol[order]
     changes = w[1:] != w[:-1]
-    clash = ~changes & (s[1:] != s[:-1])
-    if clash.any():
-        run = np.r_[0, np.cumsum(changes)]
-        unsorted = np.zeros(run[-1] + 1, dtype=bool)
-        unsorted[run[1:][clash]] = True
-        some = np.flatnonzero(unsorted[run])
+    clash = np.flatnonzero((s[1:] != s[:-1]) & ~changes)
+    if len(clash):
+        starts = np.r_[0, np.flatnonzero(changes) + 1, len(w)]
+        run = np.unique(np.searchsorted(starts, clash, side="right") - 1)
+        length = starts[run + 1] - starts[run]
+        some = np.repeat(starts[run] - np.cumsum(length) + length, length) + np.arange(length.sum())
         order[some] = order[some][np.lexsort((s[some], w[some]))]
-    return order
+        s[some] = symbol[order[some]]
+    w >>= spare
+    return order, w, s
 
 
 @dataclass
 class Layout:
-    """What a block asks of a level: positions, each one's item and context, items sorted by (context, symbol), and the hot contexts' parts."""
+    """What a block asks of a level: positions and each one's item, items sorted by (context, symbol) and each one's context, and the hot contexts' parts.
+
+    hot_at: places in `at` of those after a hot context, hot_of: which one it is.
+    """
 
     at: np.ndarray
     item: np.ndarray
@@ -104,6 +114,7 @@ class Layout:
     hot: np.ndarray
     part_of: np.ndarray
     part_at: np.ndarray
+    hot_at: np.ndarray
     hot_of: np.ndarray
 
 
@@ -111,90 +122,94 @@ class Block:
     """The texts of a block as one array of symbols, each text's after its start mark; positions are those of tokens and ends, hashes ascend."""
 
     def __init__(self, lengths: np.ndarray, learn: np.ndarray, hashes: np.ndarray, codes: np.ndarray) -> None:
-        order = np.argsort(hashes)
-        place = np.empty(len(order), dtype=np.int32)
-        place[order] = np.arange(len(order), dtype=np.int32)
-        hashes, codes = hashes[order], place[codes]
         self.lengths, self.hashes, self.codes = lengths, hashes, codes
-        starts = np.cumsum(lengths + 1) - lengths - 1
+        self.firsts = np.cumsum(lengths) - lengths
+        starts = self.firsts + np.arange(len(lengths))
         inside = np.ones(len(codes) + len(lengths), dtype=bool)
         inside[starts] = False
         self.symbols = np.empty(len(inside), dtype=np.uint64)
         self.symbols[starts] = START
         self.places = np.flatnonzero(inside)
         self.symbols[self.places] = hashes[codes]
-        self.starts = starts
-        self.depth = (self.places - np.repeat(starts, lengths)).astype(np.int64)
+        self.names = (mixed(hashes, np.ones(len(hashes), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         self.learn = np.repeat(learn, lengths)
 
+    def before(self, counts: np.ndarray, start: float) -> np.ndarray:
+        """For each position the count of the one before it in its text, for a text's first one that of its start."""
+        out = np.empty(len(counts))
+        out[1:] = counts[:-1]
+        out[self.firsts] = start
+        return out
+
     def layout(self, d: int, whole: np.ndarray, hot_from: int) -> Layout:
-        """For contexts of d symbols; whole: how often the context before each position occurs."""
-        at = np.flatnonzero((whole >= 2) & (self.depth >= d))
+        """For contexts of d symbols; whole: how often the context before each position occurs, 0 where fewer symbols are before it."""
+        at = np.flatnonzero(whole >= 2)
         places = self.places[at]
-        context = np.full(len(at), np.uint64(d), dtype=np.uint64)
+        context = np.uint64(d)
         for k in range(1, d + 1):
             context = mixed(context, self.symbols[places - k])
-        symbol = (mixed(self.symbols[places], np.uint64(1)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        parts = (-(-whole[at] // hot_from)).astype(np.int64)
-        hot_at = np.flatnonzero(parts > 1)
-        named, first, hot_of = np.unique(context[hot_at], return_index=True, return_inverse=True)
-        n_parts = parts[hot_at][first]
+        symbol = self.names[self.codes[at]]
+        often = whole[at]
+        hot_at = np.flatnonzero(often > hot_from)
+        parts = (-(-often[hot_at] // hot_from)).astype(np.int64)
+        in_hot = context[hot_at]
+        named = np.unique(in_hot)
+        hot_of = np.searchsorted(named, in_hot)
+        n_parts = np.zeros(len(named), dtype=np.int64)
+        n_parts[hot_of] = parts
         part_of = np.repeat(np.arange(len(named)), n_parts)
         part = np.arange(len(part_of)) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts)
         shift = np.uint64(64 - BITS)
         part_names = mixed(named[part_of], (part + 2).astype(np.uint64)) >> shift
-        context[hot_at] = mixed(context[hot_at], (symbol[hot_at] % parts[hot_at] + 2).astype(np.uint64))
+        context[hot_at] = mixed(in_hot, (symbol[hot_at] % parts + 2).astype(np.uint64))
         context >>= shift
-        order = _sorted_by(context, symbol)
-        c, s = context[order], symbol[order]
-        new_context = np.diff(c, prepend=c[:1]) != 0
-        new_item = new_context | (np.diff(s, prepend=s[:1]) != 0)
-        if len(c):
-            new_context[0] = new_item[0] = True
-        item, owner = np.empty(len(at), dtype=np.int64), np.empty(len(at), dtype=np.int64)
+        order, c, s = _sorted_by(context, symbol)
+        new_context = np.ones(len(c), dtype=bool)
+        np.not_equal(c[1:], c[:-1], out=new_context[1:])
+        new_item = new_context.copy()
+        new_item[1:] |= s[1:] != s[:-1]
+        item = np.empty(len(at), dtype=np.int64)
         item[order] = np.cumsum(new_item) - 1
-        own = c[new_context]
+        contexts = own = c[new_context]
+        owner = np.cumsum(new_context[new_item]) - 1
         # A block that holds a hot context asks all of its parts, those without a symbol of its own too.
-        contexts = np.union1d(own, part_names)
-        owner[order] = np.searchsorted(contexts, own)[np.cumsum(new_context) - 1]
-        items_of = owner[order][new_item]
-        kinds = np.bincount(items_of, minlength=len(contexts)).astype(np.uint32)
+        others = np.unique(part_names[own[np.minimum(np.searchsorted(own, part_names), len(own) - 1)] != part_names])
+        if len(others):
+            contexts = np.insert(own, np.searchsorted(own, others), others)
+            owner = np.searchsorted(contexts, own)[owner]
+        kinds = np.bincount(owner, minlength=len(contexts)).astype(np.uint32)
         part_at = np.searchsorted(contexts, part_names)
         hot = np.zeros(len(contexts), dtype=np.uint8)
         hot[part_at] = 1
-        all_hot = np.full(len(at), -1, dtype=np.int64)
-        all_hot[hot_at] = hot_of
-        return Layout(at, item, owner, contexts, kinds, s[new_item], hot, part_of, part_at, all_hot)
+        return Layout(at, item, owner, contexts, kinds, s[new_item], hot, part_of, part_at, hot_at, hot_of)
 
     def climb(self, totals: list[dict], hot_from: int) -> tuple[np.ndarray, np.ndarray]:
         """Each position's probability by the levels whose totals are given, and how often the context for the level after them occurs before it."""
         zero = totals[0]
         counts = zero["counts"].astype(np.float64)
-        p = (counts + 1)[self.codes] / (zero["total"] + zero["distinct"] + 1)
-        seen = np.zeros(len(self.symbols))
-        seen[self.places] = counts[self.codes]
-        seen[self.starts] = zero["ends"]
+        p = ((counts + 1) / (zero["total"] + zero["distinct"] + 1))[self.codes]
+        whole = self.before(counts[self.codes], zero["ends"])
         for d, level in enumerate(totals[1:], 1):
-            whole = seen[self.places - 1]
             own = self.layout(d, whole, hot_from)
+            often = whole[own.at]
             n = level["counts"].astype(np.float64)[own.item]
             kinds = level["kinds"].astype(np.float64)
-            size = kinds[own.owner]
+            size = kinds[own.owner][own.item]
             if len(own.part_of):
                 gains = np.zeros(len(own.contexts))
                 gains[own.hot == 1] = level["gains"]
-                split = own.hot_of >= 0
                 n_hot = int(own.part_of.max()) + 1
                 both = [np.bincount(own.part_of, weights=x[own.part_at], minlength=n_hot) for x in (gains, kinds)]
-                most = whole[own.at][split]
-                gain, size_hot = both[0][own.hot_of[split]] - most * np.log(most), both[1][own.hot_of[split]]
-                size[split] = np.where(gain > size_hot * cost_of_kind(zero["total"]), size_hot, 0)
-            node = size > 0
-            at = own.at[node]
-            p[at] = (n[node] + size[node] * p[at]) / (whole[at] + size[node])
-            seen = np.zeros(len(self.symbols))
-            seen[self.places[own.at]] = n
-        return p, seen[self.places - 1]
+                most = often[own.hot_at]
+                gain, size_hot = both[0][own.hot_of] - most * np.log(most), both[1][own.hot_of]
+                size[own.hot_at] = np.where(gain > size_hot * cost_of_kind(zero["total"]), size_hot, 0)
+            node = np.flatnonzero(size)
+            at, size = own.at[node], size[node]
+            p[at] = (n[node] + size * p[at]) / (often[node] + size)
+            seen = np.zeros(len(whole))
+            seen[own.at] = n
+            whole = self.before(seen, 0)
+        return p, whole
 
 
 def cost_of_kind(total: float) -> float:
@@ -275,7 +290,10 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, held_out_of: int, hel
         def close() -> pd.DataFrame:
             nonlocal made, ids, learned, lengths, codes, size
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, code), dtype=np.uint64, count=len(code))
-            row = (f"{task:06d}-{made:06d}", sum(lengths), ids, learned, lengths, hashes.tobytes(), pack(np.concatenate(codes)))
+            order = np.argsort(hashes)
+            place = np.empty(len(order), dtype=np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            row = (f"{task:06d}-{made:06d}", sum(lengths), ids, learned, lengths, hashes[order].tobytes(), pack(place[np.concatenate(codes)]))
             made, ids, learned, lengths, codes, size = made + 1, [], [], [], [], 0
             code.clear()
             return pd.DataFrame([row], columns=[c.split()[0] for c in BLOCKS.split(", ")])
@@ -334,7 +352,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
                         own = block.layout(level, whole, hot_from)
                         known = block.learn[own.at]
                         counts = np.bincount(own.item[known], minlength=len(own.symbols)).astype(np.uint32)
-                        sums = np.bincount(own.owner[known], weights=np.log(p[own.at[known]]), minlength=len(own.contexts))
+                        sums = np.bincount(own.owner[own.item[known]], weights=np.log(p[own.at[known]]), minlength=len(own.contexts))
                         names, kinds, hot = own.contexts, own.kinds, own.hot
                         begins = np.r_[0, np.cumsum(kinds, dtype=np.int64)]
                     else:

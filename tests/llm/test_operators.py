@@ -386,6 +386,26 @@ def test_scores_equal_a_plain_tree(spark, documents, options):
         assert (i, n) == (j, m) and math.isclose(x, y, rel_tol=1e-6, abs_tol=1e-6)
 
 
+def test_a_level_is_sorted_once_and_a_block_for_good(spark, documents):
+    rng = np.random.default_rng(5)
+    context, symbol = rng.integers(0, 40, 3000).astype(np.uint64), (rng.integers(0, 3, 3000) * 65_537 + rng.integers(0, 3, 3000)).astype(np.uint32)
+    for n in (0, 1, 3000):  # symbols that differ in their lower bits only
+        order, c, s = suffix_tree._sorted_by(context[:n], symbol[:n])
+        expect = np.lexsort((symbol[:n], context[:n]))
+        assert sorted(order) == list(range(n))
+        assert (c == context[expect]).all() and (s == symbol[expect]).all() and (c == context[order]).all() and (s == symbol[order]).all()
+    docs = spark.createDataFrame(documents[:40], "doc_id long, text string")
+    row = suffix_tree.blocks_of(docs, "doc_id", "text", 7, 2, 1 << 20).first()
+    hashes, codes = np.frombuffer(bytes(row["hashes"]), dtype=np.uint64), suffix_tree.unpack(row["codes"], np.int32)
+    assert (hashes[1:] > hashes[:-1]).all() and set(codes) == set(range(len(hashes)))
+    # Nothing occurs twice: all levels are empty. Then a hot context, of whose parts some have no symbol here.
+    block = suffix_tree.Block(np.array(row["lengths"]), np.array(row["learn"]), hashes, codes)
+    none = block.layout(1, np.ones(len(codes)), 100)
+    assert len(none.at) == len(none.contexts) == len(none.symbols) == 0
+    hot = block.layout(1, np.where(np.arange(len(codes)) == 1, 5000.0, 0.0), 100)
+    assert len(hot.at) == 1 and len(hot.contexts) == 50 and hot.hot.all() and hot.kinds.sum() == 1 and hot.kinds[hot.owner[0]] == 1
+
+
 def test_texts_that_occur_twice_stand_apart(spark):
     rng, words = np.random.default_rng(8), [f"w{k}" for k in range(300)]
     texts = [" ".join(rng.choice(words, 120)) for _ in range(80)]
