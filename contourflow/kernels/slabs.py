@@ -1,6 +1,7 @@
 """Cheapest costs on graphs whose edges join near names only, by slabs of blocks: each block is a cut, so distances cross it by matrices.
 
 A matrix is an array (4, n, m) of cost, length, climb and number of edges of the cheapest way from each of n nodes to each of m; a cost of inf is no way.
+A fifth measure, where there is one, is the greatest of a way's edges; the others are sums.
 A block is `band` consecutive names; an edge joins a block and itself or the next. A slab is some blocks and the first block of the next slab.
 """
 
@@ -11,18 +12,25 @@ import numpy as np
 Matrix = np.ndarray
 
 
-def nothing(n: int, m: int) -> Matrix:
-    out = np.zeros((4, n, m))
+def nothing(n: int, m: int, measures: int = 4) -> Matrix:
+    out = np.zeros((measures, n, m))
     out[0] = np.inf
     return out
 
 
+def after(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The measures of ways a and then b, pair by pair."""
+    out = a + b
+    out[4:] = np.maximum(a[4:], b[4:])
+    return out
+
+
 def times(a: Matrix, b: Matrix, rows: int = 512) -> Matrix:
     """The cheapest ways by a and then b."""
     if a.shape[1] > rows:
         return np.concatenate([times(a[:, k : k + rows], b, rows) for k in range(0, a.shape[1], rows)], axis=1)
     at = (a[0][:, None, :] + np.ascontiguousarray(b[0].T)[None]).argmin(axis=2)
-    return a[:, np.arange(a.shape[1])[:, None], at] + b[:, at, np.arange(b.shape[2])]
+    return after(a[:, np.arange(a.shape[1])[:, None], at], b[:, at, np.arange(b.shape[2])])
 
 
 def least(a: Matrix, b: Matrix) -> Matrix:
@@ -35,7 +43,7 @@ def closed(m: Matrix) -> Matrix:
     for k in range(m.shape[1]):
         r, c = np.nonzero(m[0][:, k, None] + m[0][None, k] < m[0])
         if len(r):
-            m[:, r, c] = m[:, r, k] + m[:, k, c]
+            m[:, r, c] = after(m[:, r, k], m[:, k, c])
     return m
 
 
@@ -43,8 +51,8 @@ class Slab:
     """within: each block's own edges, ahead: those to the next block, back: those from the next block."""
 
     def __init__(self, u: np.ndarray, v: np.ndarray, measures: np.ndarray, band: int, first: int, blocks: int) -> None:
-        """measures: (4, edges); the names lie in blocks first to first + blocks - 1."""
-        self.within, self.ahead, self.back = (np.zeros((n, 4, band, band)) for n in (blocks, blocks - 1, blocks - 1))
+        """measures: (4 or 5, edges); the names lie in blocks first to first + blocks - 1."""
+        self.within, self.ahead, self.back = (np.zeros((n, len(measures), band, band)) for n in (blocks, blocks - 1, blocks - 1))
         for part in (self.within, self.ahead, self.back):
             part[:, 0] = np.inf
         order = np.argsort(-measures[0], kind="stable")  # the cheapest of parallel edges is written last
@@ -99,7 +107,7 @@ class Slab:
 
 def joined(slabs: dict[int, tuple[Matrix, Matrix, Matrix, Matrix]], band: int) -> tuple[dict[int, Matrix], dict[int, Matrix], dict[int, Matrix]]:
     """Of the slabs' ends(): whole distances among each slab's first block's nodes, from there to the next slab's, and back from there."""
-    none = nothing(band, band)
+    none = nothing(band, band, len(next(iter(slabs.values()))[0]))
     ks = range(min(slabs), max(slabs) + 1)
     at = {k: slabs.get(k, (none,) * 4) for k in ks}
     low, high = {ks[0]: none}, {ks[-1] + 1: none}

@@ -472,6 +472,22 @@ def test_certificates_name_their_witness(spark):
     assert gone["verdict"] == "no_way" and not gone["reachable"] and 0 < gone["edge_keep_share"] < 1
 
 
+def test_certificates_by_slabs_are_the_searchs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    cells = cells_of(spark, rng.integers(0, 30, (40, 4)))
+    edges = graph.cut_lineage(graph.with_cost(graph.grid_edges(cells), lambda dh, metres: metres + F.abs(dh) / 1024 + F.abs(F.hash("u", "v")) / 2.0**45))  # hardly two ways at one price
+    pairs = graph.cut_lineage(spark.range(120).selectExpr("'t' AS terrain_id", "id AS od_id", "id * 37 % 160 AS start", "id * 61 % 160 AS target"))
+    columns = ["verdict", "reachable", "edges_kept", "edges_total", "straight_m", "length_m", "development", "witness_i_max_percent"]
+    plain = {r["od_id"]: r for r in searches.certify(pairs, edges, cells, 1.0, 700.0).collect()}
+    monkeypatch.setattr(searches, "paths", None)  # no table of paths
+    found = {r["od_id"]: r for r in searches.certify(pairs, edges, cells, 1.0, 700.0, radius=False, search_work=0).collect()}
+    assert len(found) == 120 and len({r["verdict"] for r in found.values()}) > 1
+    for od, r in plain.items():
+        assert [found[od][c] for c in columns[:4]] == [r[c] for c in columns[:4]]
+        assert [found[od][c] for c in columns[4:]] == [x if x is None else pytest.approx(x) for x in (r[c] for c in columns[4:])]
+    assert found[0]["verdict"] == "feasible" and found[0]["development"] is None and found[0]["length_m"] == 0.0  # both ends are one cell
+
+
 def test_selection_descriptors(spark):
     labelled = graph.cut_lineage(graph.height_areas(cells_of(spark, BANDS), 1))
     chain = spark.createDataFrame([("t", 0, 0, 0), ("t", 0, 1, 1)], "terrain_id string, od_id long, seq int, area_id long")
