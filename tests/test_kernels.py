@@ -472,6 +472,44 @@ def test_certificates_name_their_witness(spark):
     assert gone["verdict"] == "no_way" and not gone["reachable"] and 0 < gone["edge_keep_share"] < 1
 
 
+def test_searches_read_edges_in_batches(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    cells = cells_of(spark, rng.integers(0, 50, (30, 6)), rng.random((30, 6)) > 0.1).filter("valid").unionByName(cells_of(spark, rng.integers(0, 9, (4, 4)), name="small"))
+    edges = graph.cut_lineage(graph.with_cost(graph.grid_edges(cells), "height_tiebreak"))
+    one_way = edges.filter("terrain_id = 't' AND NOT (v = 179 AND u < v)").withColumn("v", F.when(F.col("v") == 7, 999).otherwise(F.col("v")))  # a node that no edge leaves
+    pairs = graph.cut_lineage(spark.range(100).selectExpr("IF(id % 9 = 0, 'small', IF(id = 7, 'none', 't')) AS terrain_id", "id AS od_id", "id * 37 % 180 AS start", "IF(id % 7 = 0, 999, id * 61 % 180) AS target"))
+    monkeypatch.setattr(searches, "_graph", None)  # no table of a terrain's edges
+    monkeypatch.setattr(searches, "PAIRS_A_TASK", 8)
+    monkeypatch.setattr(searches, "BLOCK", 16)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        for own in (edges, one_way):
+            found = {r["od_id"]: r for r in searches.searches(own, pairs).collect()}
+            local = own.toPandas().sort_values(["terrain_id", "u", "k"], kind="stable")
+            assert len(found) == 100 and any(r["path_found"] for r in found.values())
+            for od, terrain, start, target in [(r["od_id"], r["terrain_id"], r["start"], r["target"]) for r in pairs.collect()]:
+                e, r = local[local["terrain_id"] == terrain], found[od]
+                g = search.Graph.of(e["u"].to_numpy(), e["v"].to_numpy(), e["weight"].to_numpy())
+                a, b = g.at(start), g.at(target)
+                plain = search.dijkstra(g, a, {b} if a >= 0 and b >= 0 else set())
+                path = plain.path(b) if a >= 0 and b >= 0 else []
+                assert [r[c] for c in ("terrain_id", "path_found", "n_path_nodes", "nodes_expanded", "nodes_pushed", "nodes_reached", "n_nodes", "n_edges")] == [terrain, bool(path), len(path), plain.expanded, plain.pushed, plain.reached, len(g.names), len(e)]
+                steps = plain.edges(b) if path else []
+                assert [r[c] for c in ("cost", "length_m", "climb_m")] == ([plain.dist[b], e["length_m"].to_numpy()[steps].sum(), e["dh"].abs().to_numpy()[steps].sum()] if path else [None] * 3)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_long_graphs_are_read_from_their_arrays(monkeypatch):
+    u, v, w = np.array([0, 0, 1, 2]), np.array([1, 2, 3, 3]), np.array([1.0, 2.0, 5.0, 1.0])
+    plain = search.dijkstra(search.Graph.of(u, v, w), 0, {3})
+    monkeypatch.setattr(search, "LIST_EDGES", 0)
+    g = search.Graph.of(u, v, w)
+    found = search.dijkstra(g, 0, {3})
+    assert all(isinstance(x, memoryview) for x in g.plain)
+    assert (found.path(3), found.edges(3), found.expanded, found.pushed, found.reached) == (plain.path(3), plain.edges(3), plain.expanded, plain.pushed, plain.reached) and found.path(3) == [0, 2, 3]
+
+
 def test_certificates_by_slabs_are_the_searchs(spark, monkeypatch):
     rng = np.random.default_rng(5)
     cells = cells_of(spark, rng.integers(0, 30, (40, 4)))
